@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import posixpath
+import re
 import shutil
 import tempfile
 import uuid
@@ -140,41 +142,73 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Encoder:
+#: Stretches of plain characters only: visible ASCII and Latin-1 letters, which NFC leaves alone.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]{1,100}")
+#: What the vocabulary's own splitter makes of such a stretch, once lower-cased.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: itself if visible, else one from 256 on, in order."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Pieces(dict):
+    """Lower-case piece -> its ids as bytes, by the tokenizer's BPE model."""
+
+    def __init__(self, model, most: int):
+        super().__init__()
+        self.model, self.most, self.letters = model, most, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        v = self[piece] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        return v
+
+
+class Encoder(dict):
     """Text -> token ids (little-endian unsigned 32-bit), by the tokenizers library.
 
     The tokenizer never joins across white space, so each stretch between
-    spaces or line feeds is encoded once by the library and remembered, up to
-    a bound. Stretches that hold a special token go through it like any other.
+    spaces or line feeds is encoded once and remembered, up to a bound. A
+    stretch of plain characters is cut as the vocabulary's splitter would and
+    its pieces go to the library's BPE model; any other goes through the whole
+    tokenizer (so does every one if a vocabulary has another splitter).
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
+        super().__init__()
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.pieces = Pieces(self.whole.model, most)
         self.most = most
-
-    def learn(self, new: list[str]) -> None:
-        for e, w in zip(self.model.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        said = json.loads(self.whole.to_str())
+        split = [x.get("pattern", {}).get("Regex") for x in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.known_splitter = split == [_SPLITTER, None] and said["normalizer"]["normalizers"][-1] == {"type": "Lowercase"}
+
+    def __missing__(self, word: str) -> bytes:
+        if self.known_splitter and _PLAIN.fullmatch(word) and "<|" not in word:
+            v = b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
+        else:
+            v = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= 100:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = v
+        return v
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null and empty texts have none."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = {w for ws in split for w in ws}.difference(self.known)
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        for w in new:
-            if len(w) > 100:
-                del self.known[w]
-        return out
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 def encoder(path: str, _kept: dict = {}) -> Encoder:  # noqa: B006
