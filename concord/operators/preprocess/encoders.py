@@ -197,8 +197,8 @@ class OrdinalEncoder(OneHotEncoder):
 class TargetEncoder(Module):
     """Category to a shrunk mean of the target. smooth: a number, or auto (empirical Bayes).
 
-    fit_transform encodes each row by a fit on the other folds; the fold is
-    that of a key column, pmod(hash(key), folds), so it does not depend on how
+    fit_transform with a key encodes each row by a fit on the other folds; the
+    fold is that of the key column, pmod(hash(key), folds), so it does not depend on how
     rows are dealt.
     """
 
@@ -224,8 +224,8 @@ class TargetEncoder(Module):
         out = {}
         for c in self.columns:
             sums = self._sums(df, c)
-            whole = sums.agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"))
-            rows = sums.crossJoin(F.broadcast(whole)).select("v", self._encode(*map(F.col, "nsqNSQ")).alias("e"), (F.col("S") / F.col("N")).alias("mean"))  # one row is joined
+            whole = sums.agg(*(F.sum(x).alias(f"all_{x}") for x in "nsq"))
+            rows = sums.crossJoin(F.broadcast(whole)).select("v", self._encode(*map(F.col, ("n", "s", "q", "all_n", "all_s", "all_q"))).alias("e"), (F.col("all_s") / F.col("all_n")).alias("mean"))  # one row is joined
             got = rows.collect()  # a row for each category
             out[c] = {"values": {r.v: r.e for r in got if r.v is not None}, "missing": next((r.e for r in got if r.v is None), None), "mean": got[0]["mean"] if got else None}
         return out
@@ -241,7 +241,7 @@ class TargetEncoder(Module):
     def fit_transform(self, df: DataFrame, key: str | None = None, folds: int = 5) -> DataFrame:
         self.fit(df)
         if key is None:
-            raise ValueError("cross fitting needs a key column")
+            return self.transform(df)
         out = df.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)))
         for i, c in enumerate(self.columns):
             sums = self._sums(df, c, F.pmod(F.xxhash64(key), F.lit(folds)))
