@@ -10,7 +10,8 @@ from concord.types import present
 
 def windowed(events: DataFrame, time: str, columns: list[str], every: str = "1 hour", late: str = "2 hours", by: list[str] | None = None) -> DataFrame:
     """Count, sum, mean, min, max and population variance of columns for each window (and group); works on streams and tables."""
-    df = events.withWatermark(time, late) if events.isStreaming else events
+    # A watermark needs an instant; a local time is taken in the session's zone.
+    df = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     stats = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "var": F.var_pop}
     out = df.groupBy(F.window(time, every), *(by or [])).agg(F.count("*").alias("rows"), *(f(present(c)).alias(f"{c}_{n}") for c in columns for n, f in stats.items()))
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *(by or []), "rows", *(f"{c}_{n}" for c in columns for n in stats))
