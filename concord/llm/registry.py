@@ -10,6 +10,7 @@ from .media import op9_media
 from .packing import op5_packing
 from .pii import op2_pii
 from .secrets import op7_secrets
+from .sql import ORACLES
 from .token_files import op4_token_files
 from .toxicity import op6_toxicity
 
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
