@@ -2,17 +2,19 @@
 
 1. Each document becomes a set of 64-bit shingle hashes; equal sets become one
    node (their hash), so copies, however many, cost one.
-2. Linked sets share a shingle among their prefixes: the first
-   n - ceil(t n) + 1 of their n shingles, in any one order. The order is by
-   hash, but shingles that stand in many prefixes come last; which those are is
-   counted over all documents and kept in a Bloom filter of fixed size, so that
-   all documents agree and a false positive only places a shingle later. Nodes
-   that share a prefix shingle are tied to the least of them, by Spark; very
-   common shingles in salted parts first, then part to part.
-3. Components of these ties hold every link within them. The sets of a
+2. Hash space is cut into buckets, about CROWD shingles of a set to each; what a
+   set has in one bucket is one element. Linked sets of n shingles differ in at
+   most d = floor(15 floor(100 n / 85) / 100) shingles (for 85 %), hence in at
+   most d elements, and so share one of their first d + 1 in any one order. The
+   order is by size: large elements are rare ones. Sets with too few elements
+   share a further one. The number of buckets goes by classes of size; a set
+   near the end of its class stands in the next one as well.
+3. Nodes with a common element are tied to the least of them: in each task
+   first, so that a very common element leaves a task once, then by Spark.
+4. Components of these ties hold every link within them. The sets of a
    component meet in one group, or, where they have more than GROUP shingles, in
    groups of two blocks each, so that every pair meets.
-4. In a group, a T-occurrence search (DivideSkip) over inverted lists counts
+5. In a group, a T-occurrence search (DivideSkip) over inverted lists counts
    overlaps exactly: short lists are merged by a heap, long ones probed by
    bisection. The lists are of leaders, sets not linked with an earlier leader.
    1 - Jaccard is a metric: a set that is further than twice the radius from a
@@ -31,7 +33,9 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from itertools import groupby
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +47,13 @@ from .common import PLAIN, WordHash, batches, hashes, mixed, scratch, stored, ta
 from .components import components
 
 N, PERCENT = 4, 85
-HOT, SALTS = 16, 64
-BLOOM_BITS = 1 << 26  # 8 MB, whatever the corpus
+CLASS = 1.5  # sizes of a class lie within this ratio
+CROWD, SMALL = 4.2, 64  # shingles to a bucket for the largest sets of a class; below SMALL shingles one to a bucket
+FLUSH = 2_000_000  # elements that a task ties at a time
 GROUP = 3_000_000  # shingles of a group of sets that are compared in one task
-PROBE = 0.0085  # weight of a heap step against a probe, in DivideSkip's choice of long lists
+TRIED = 4  # leaders, of the largest balls, that a set is tried with while there is one component
+HEAP = 500
+PROBE = 0.1  # weight of a heap step against a probe, in DivideSkip's choice of long lists
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -68,21 +75,37 @@ def node_of(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
-def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def most_different(n: int, percent: int) -> int:
+    """The largest symmetric difference with which a set of n can be linked."""
+    return (100 - percent) * (100 * n // percent) // 100
 
 
-def bloom_places(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = tokens.view(np.uint64)
-    mask = np.uint64(BLOOM_BITS - 1)
-    return t & mask, (t >> np.uint64(32)) & mask
+def class_of(n: int) -> int:
+    k = max(0, int(math.log(n) / math.log(CLASS)) - 1)
+    while math.ceil(CLASS ** (k + 1)) <= n:
+        k += 1
+    return k
 
 
-def in_bloom(bloom: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Whether each token is in the filter, an array of 64-bit words."""
-    a, b = bloom_places(tokens)
-    six, low = np.uint64(6), np.uint64(63)
-    return ((bloom[a >> six] >> (a & low)) & (bloom[b >> six] >> (b & low)) & np.uint64(1)).astype(bool)
+def elements(s: np.ndarray, percent: int) -> np.ndarray:
+    """The element hashes by which a set meets all sets it may be linked with."""
+    n, out = len(s), []
+    d = most_different(n, percent)
+    h = s.view(np.uint64)
+    order = np.argsort(h)  # the set is in order of signed numbers
+    h = h[order]
+    own = mixed(h)
+    for level in range(class_of(n), class_of(100 * n // percent) + 1):
+        top = math.ceil(CLASS ** (level + 1))
+        buckets = top if top <= SMALL else math.ceil(top / CROWD)
+        at = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        size = np.diff(np.append(starts, n))
+        made = mixed(np.add.reduceat(own, starts) + at[starts] * _ODD[0] + np.uint64(level * int(_ODD[1]) % 2**64))
+        out.append(made[np.argsort(-size, kind="stable")[: d + 1]])
+        if len(made) <= d:
+            out.append(mixed(np.array([level], np.uint64)))
+    return np.concatenate(out).view(np.int64)
 
 
 def describe(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -100,14 +123,34 @@ def describe(docs: DataFrame, text: str, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def prefixes(docs: DataFrame, text: str, n: int, percent: int, bloom=None) -> DataFrame:
-    """token, node and part (0, or one of SALTS for tokens of the filter) of every prefix; a task gives a node once while it remembers it."""
+def tied(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct elements with their least node, and the pairs of other nodes with it."""
+    order = np.argsort(tokens)
+    t, v = tokens[order], nodes[order]
+    new = np.concatenate(([True], t[1:] != t[:-1]))
+    first = np.minimum.reduceat(v, np.flatnonzero(new))
+    least = first[np.cumsum(new) - 1]
+    pairs = np.unique(np.stack((v[v != least], least[v != least]), 1), axis=0)
+    return t[new], first, pairs[:, 0], pairs[:, 1]
+
+
+def element_rows(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """(key, node, kind): kind 0 an element and the least node of a task that has it, kind 1 a node and one it is tied to."""
 
     def run(frames):
         seen, done = WordHash(), set()
-        common = bloom.value if bloom is not None else None
+        tokens, nodes, many = [], [], 0
+
+        def flush():
+            if not tokens:
+                return
+            t, v, a, b = tied(np.concatenate(tokens), np.concatenate(nodes))
+            key, node = np.concatenate((t, a)), np.concatenate((v, b))
+            kind = np.repeat(np.array([0, 1], np.int32), (len(t), len(a)))
+            for i in range(0, len(key), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (key, node, kind)], ["key", "node", "kind"])
+
         for b in batches(frames):
-            tokens, nodes, many, parts = [], [], [], []
             for t in text_bytes(b.column(0)):
                 s = shingle_set(t, n, seen)
                 if not len(s) or (node := node_of(s)) in done:
@@ -115,51 +158,38 @@ def prefixes(docs: DataFrame, text: str, n: int, percent: int, bloom=None) -> Da
                 if len(done) >= 200_000:
                     done.clear()
                 done.add(node)
-                p = prefix_size(len(s), percent)
-                part = np.zeros(p, np.int32)
-                if common is not None and (hot := in_bloom(common, s)).any():
-                    cold = s[~hot][:p]
-                    part[len(cold) :] = 1 + node % SALTS
-                    s = np.concatenate((cold, s[hot]))
-                tokens.append(s[:p])
-                parts.append(part)
-                nodes.append(node)
-                many.append(p)
-            if nodes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(nodes, np.int64), many)), pa.array(np.concatenate(parts))], ["token", "node", "part"]
-                )
-
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "token long, node long, part int")
-
-
-def common_tokens(docs: DataFrame, text: str, n: int, percent: int) -> np.ndarray:
-    """A Bloom filter of the tokens that stand in at least HOT prefixes."""
-    hot = prefixes(docs, text, n, percent).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
-    mask = BLOOM_BITS - 1
-    places = F.explode(F.array(F.col("token").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("token", 32).bitwiseAND(F.lit(mask))))
-    bits = hot.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
-    bloom = np.zeros(BLOOM_BITS // 64, np.uint64)
-    got = bits.toArrow()  # at most BLOOM_BITS / 64 rows
-    bloom[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return bloom
-
-
-def ties(rows: DataFrame, folder: str) -> DataFrame:
-    """(u, v): each node with the least one that shares a prefix token."""
-    w = Window.partitionBy("token", "part")
-    tied = rows.withColumn("least", F.min("node").over(w)).where("node <> least OR part > 0")
-    tied = tied.select(F.when(F.col("node") == F.col("least"), F.col("token")).alias("token"), "node", "least").distinct()
-    tied = stored(tied, f"{folder}/ties")
-    between = tied.where("token IS NOT NULL").groupBy("token").agg(F.collect_set("least").alias("of"))  # at most SALTS
-    between = between.select(F.explode("of").alias("u"), F.array_min("of").alias("v"))
-    return tied.where("token IS NULL").select(F.col("node").alias("u"), F.col("least").alias("v")).unionByName(between).where("u <> v").distinct()
+                e = elements(s, percent)
+                tokens.append(e)
+                nodes.append(np.full(len(e), node, np.int64))
+                many += len(e)
+            if many >= FLUSH:
+                yield from flush()
+                tokens, nodes, many = [], [], 0
+        yield from flush()
+
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "key long, node long, kind int")
+
+
+def ties(rows: DataFrame) -> DataFrame:
+    """(u, v): each node with the least one that shares an element with it."""
+    least = F.min("node").over(Window.partitionBy("key", "kind"))
+    tie = F.when(F.col("kind") == 0, F.struct(F.col("node").alias("u"), least.alias("v"))).otherwise(F.struct(F.col("key").alias("u"), F.col("node").alias("v")))
+    return rows.select(tie.alias("tie")).select("tie.*").where("u <> v").distinct()
 
 
 def linked(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
+def merged(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """How many of ascending lists hold each id: by a heap, or by counting where the heap would do more than HEAP steps."""
+    if sum(map(len, lists)) > HEAP:
+        yield from Counter(chain.from_iterable(lists)).items()
+    else:
+        for x, run in groupby(heapq.merge(*lists)):
+            yield x, sum(1 for _ in run)
+
+
 def t_occurrence(lists: list[list[int]], least: int, most: int) -> dict[int, int]:
     """DivideSkip: what stands in at least ``least`` of the ascending lists, with how many; most: ids there are."""
     if len(lists) < least:
@@ -167,8 +197,7 @@ def t_occurrence(lists: list[list[int]], least: int, most: int) -> dict[int, int
     lists.sort(key=len, reverse=True)
     long = min(least - 1, int(least / (PROBE * math.log2(most + 1) + 1)))
     out = {}
-    for x, run in groupby(heapq.merge(*lists[long:])):
-        n = sum(1 for _ in run)
+    for x, n in merged(lists[long:]):
         if n < least - long:
             continue
         for probe in lists[:long]:
@@ -181,7 +210,7 @@ def t_occurrence(lists: list[list[int]], least: int, most: int) -> dict[int, int
 
 def join_group(sets: list[np.ndarray], percent: int) -> list[int]:
     """For each set the index of the first one of its component, by links among these sets."""
-    parent = list(range(len(sets)))
+    parent, groups = list(range(len(sets))), 0  # groups: components so far
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -189,41 +218,57 @@ def join_group(sets: list[np.ndarray], percent: int) -> list[int]:
         return i
 
     def union(i: int, j: int) -> None:
+        nonlocal groups
         i, j = sorted((find(i), find(j)))
-        parent[j] = i
+        if i != j:
+            parent[j] = i
+            groups -= 1
 
     near = max(0, 2 * percent - 100)
     leaders: list[int] = []
     ball: list[list[int]] = []
+    largest: list[int] = []  # places of the TRIED leaders with the largest balls
     index: dict[int, list[int]] = {}
     for x, s in enumerate(sets):
-        tokens = s.tolist()
-        lists = [index[t] for t in tokens if t in index]
-        own = None
+        # With one component nothing is left to connect but x: any leader it is linked with will do.
+        own = next((k for k in largest if together(s, sets[leaders[k]], percent)), None) if groups == 1 else None
+        groups += 1
         found = []
-        for k, both in t_occurrence(lists, max(1, -(-near * len(s) // 100)), len(leaders)).items():
-            size = len(sets[leaders[k]])
-            if linked(len(s), size, both, percent):
-                union(x, leaders[k])
-                own = k if own is None else own
-            if linked(len(s), size, both, near):
-                found.append(k)
+        if own is not None:
+            union(x, leaders[own])
+        else:
+            lists = [index[t] for t in s.tolist() if t in index]
+            for k, both in t_occurrence(lists, max(1, -(-near * len(s) // 100)), len(leaders)).items():
+                size = len(sets[leaders[k]])
+                if linked(len(s), size, both, percent):
+                    own = k if own is None else own
+                    union(x, leaders[k])
+                elif linked(len(s), size, both, near):
+                    found.append(k)
         for k in found:
-            for y in ball[k]:
-                if find(x) != find(y) and 100 * min(len(s), len(sets[y])) >= percent * max(len(s), len(sets[y])):
-                    both = len(np.intersect1d(s, sets[y], assume_unique=True))
-                    if linked(len(s), len(sets[y]), both, percent):
-                        union(x, y)
+            # All of a ball is in its leader's component.
+            if find(x) != find(leaders[k]) and any(together(s, sets[y], percent) for y in ball[k]):
+                union(x, leaders[k])
         if own is None:
-            for t in tokens:
-                index.setdefault(t, []).append(len(leaders))
+            own = len(leaders)
+            for t in s.tolist():
+                index.setdefault(t, []).append(own)
             leaders.append(x)
             ball.append([])
         else:
             ball[own].append(x)
+        if own not in largest:
+            largest = sorted([*largest, own], key=lambda k: -len(ball[k]))[:TRIED]
     return [find(i) for i in range(len(sets))]
 
 
+def together(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets are linked."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    return linked(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), percent)
+
+
 def group_links(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """rows: g, i, j, node, text, all rows of a group following each other -> (u, v)."""
 
@@ -260,8 +305,7 @@ def jaccard_components(docs: DataFrame, folder: str, text: str = "text", n: int
     spark = docs.sparkSession
     tune_batches(spark)
     each = stored(describe(docs, text, n), f"{folder}/each")
-    bloom = spark.sparkContext.broadcast(common_tokens(docs, text, n, percent))
-    near = components(ties(prefixes(docs, text, n, percent, bloom), folder), f"{folder}/near")
+    near = components(ties(element_rows(docs, text, n, percent)), f"{folder}/near")
     reps = each.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     roots = near.select("root").distinct().select(F.col("root").alias("node"), "root")
     members = near.unionByName(roots).join(reps, "node").where("rep IS NOT NULL")

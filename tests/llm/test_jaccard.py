@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from concord.llm.common import WordHash, scratch
-from concord.llm.jaccard import jaccard_components, join_group, op8_jaccard_join, t_occurrence
+from concord.llm.jaccard import class_of, elements, jaccard_components, join_group, linked, op8_jaccard_join, t_occurrence
 
 
 def words(t):
@@ -82,6 +82,23 @@ def test_join_group():
         assert join_group(made, percent) == [find(i) for i in range(len(made))]
 
 
+def test_elements():
+    """Linked sets always meet."""
+    rng = np.random.default_rng(8)
+    assert [class_of(n) for n in (1, 2, 3, 4, 5)] == [0, 1, 2, 3, 3] and all(np.ceil(1.5 ** class_of(n)) <= n < np.ceil(1.5 ** (class_of(n) + 1)) for n in range(1, 5000))
+    met = 0
+    for percent in (85, 60):
+        for _ in range(1500):
+            x = np.unique(rng.integers(-(2**63), 2**63 - 1, int(np.exp(rng.uniform(0, 6.5)))))
+            union = 100 * len(x) // percent
+            y = np.unique(np.concatenate((rng.choice(x, max(1, len(x) - rng.integers(0, union - len(x) + 2)), replace=False), rng.integers(-(2**63), 2**63 - 1, rng.integers(0, union - len(x) + 1)))))
+            both = len(np.intersect1d(x, y))
+            if linked(len(x), len(y), both, percent):
+                met += 1
+                assert len(np.intersect1d(elements(x, percent), elements(y, percent))), (len(x), len(y), both)
+    assert met > 500
+
+
 def corpus(rng):
     voc = [f"w{i}" for i in range(400)]
     shared = " ".join(rng.choices(voc, k=40))
