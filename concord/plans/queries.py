@@ -150,7 +150,7 @@ LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def _joint(kind: str, n: int):
     digits = {"SUM": 2, "AVG": 4}.get(kind, 6)
-    values = ", ".join(f"round({kind.lower()}({c}), {digits}) AS {c}" for c in LI)
+    values = ", ".join(f"round({kind.lower()}({c}), {digits}) + 0.0 AS {c}" for c in LI)
 
     def run(spark, sf):
         parties = stats.split_parties(t(spark, sf, "lineitem").select("l_orderkey", *LI), "l_orderkey", n)
@@ -231,7 +231,7 @@ COLS = ["l_discount", "l_extendedprice", "l_quantity"]
 
 
 def _by_column(value: str, digits: int) -> str:
-    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", " + ", ".join(f"round({v.replace('?', c)}, {digits}) AS {n}" for v, n in (x.rsplit(' AS ', 1) for x in value.split(';'))) + " FROM m" for c in COLS)
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", " + ", ".join(f"round({v.replace('?', c)}, {digits}) + 0.0 AS {n}" for v, n in (x.rsplit(' AS ', 1) for x in value.split(';'))) + " FROM m" for c in COLS)
 
 
 def _col(name: str, value: str, run: Callable[[DataFrame], DataFrame], digits: int = 4):
@@ -252,7 +252,7 @@ _col("col_median", "quantile_cont(?, 0.5) AS median", lambda d: stats.col_median
 QS = [0.0, 0.25, 0.5, 0.9, 1.0]
 
 
-@query(f"WITH m AS ({MISSING}) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {q}::DOUBLE AS q, round(quantile_cont({c}, {q}), 4) AS value FROM m" for c in COLS for q in QS))
+@query(f"WITH m AS ({MISSING}) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {q}::DOUBLE AS q, round(quantile_cont({c}, {q}), 4) + 0.0 AS value FROM m" for c in COLS for q in QS))
 def col_quantile_exact(spark, sf):
     return rounded(stats.col_quantile(missing(spark, sf), COLS, QS), 4)
 
@@ -545,7 +545,8 @@ def vertical_logistic(spark, sf):
     return rounded(spark.createDataFrame(list(zip(["x", "z", "bias"], m.weights, strict=True)), "feature string, weight double"))
 
 
-@query("""SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS "rows", round(sum(value), 4) AS value_sum, round(avg(value), 4) AS value_mean,
-    min(value) AS value_min, max(value) AS value_max, round(var_pop(value), 4) AS value_var FROM events GROUP BY ALL""")
+@query("""SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS "rows", round(sum(value), 9) AS value_sum, round(avg(value), 9) AS value_mean,
+    min(value) AS value_min, max(value) AS value_max, round(var_pop(value), 6) AS value_var FROM events GROUP BY ALL""")
 def windowed_statistics(spark, sf):
-    return rounded(streaming.windowed(t(spark, sf, "events"), "ts", ["value"], "1 day", by=["event_type"]), 4)
+    out = streaming.windowed(t(spark, sf, "events"), "ts", ["value"], "1 day", by=["event_type"])
+    return rounded(out.withColumn("value_var", F.round("value_var", 6)), 9)
