@@ -40,7 +40,7 @@ class EliasFano:
         l = max(0, (int(v[-1]) // n).bit_length() - 1) if n else 0  # noqa: E741
         at = np.arange(n, dtype=np.int64)
         high = (v >> U(l)).astype(np.int64) + at
-        # A set bit past the end and an unset one after it stop every walk.
+        # At least one unset bit follows the last value.
         words = _words(high, np.ones(n, U), (int(high[-1]) // 64 if n else 0) + 2)
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))[:-1]
         low = np.zeros(0, U)
@@ -93,33 +93,41 @@ class EliasFano:
             self._zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         return self._zeros
 
-    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each value (less the base, uint64) the place of the first one at or above it, and whether it is equal."""
+    def _after_zero(self, r: np.ndarray) -> np.ndarray:
+        """How many values have a high part of at most r: those before the r-th unset bit."""
+        z = self.zeros()
+        w = np.searchsorted(z, r, side="right") - 1
+        return (w << 6) + self._in_word(~self.high[w], r - z[w]) - r
+
+    def successor(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each value (less the base, uint64) the place of the first one at or above it, and whether it is equal.
+
+        first and last: places between which to look, for callers that know them.
+        """
         top = (values >> U(self.l)).astype(np.int64)
-        last = (len(self.high) << 6) - self.n - 1
-        out = top > last  # beyond every high part
-        top = np.minimum(top, last)
-        # The bits of the bucket of ``top`` follow its top-th unset bit.
-        at, i = np.zeros(len(top), np.int64), np.zeros(len(top), np.int64)
+        most = (len(self.high) << 6) - self.n - 1
+        beyond = top > most
+        top = np.minimum(top, most)
+        # The values of the bucket of ``top`` stand between two unset bits.
+        low, high = np.zeros(len(top), np.int64), self._after_zero(top)
         k = np.flatnonzero(top > 0)
-        if len(k):
-            z = self.zeros()
-            w = np.searchsorted(z, top[k] - 1, side="right") - 1
-            at[k] = (w << 6) + self._in_word(~self.high[w], top[k] - 1 - z[w]) + 1
-            i[k] = at[k] - top[k]
-        found = np.zeros(len(top), bool)
-        low = values & U((1 << self.l) - 1)
-        left = np.flatnonzero(~out)
+        low[k] = self._after_zero(top[k] - 1)
+        low[beyond] = high[beyond] = self.n
+        if first is not None:
+            low, high = np.clip(low, first, last), np.clip(high, first, last)
+        wanted = values & U((1 << self.l) - 1)
+        end = high.copy()
+        left = np.flatnonzero(low < high)
         while len(left):
-            a = at[left]
-            left = left[(self.high[a >> 6] >> (a & 63).astype(U)) & U(1) == 1]
-            here = self._low(i[left])
-            found[left[here == low[left]]] = True
-            left = left[here < low[left]]
-            at[left] += 1
-            i[left] += 1
-        i[out] = self.n
-        return i, found
+            mid = (low[left] + high[left]) >> 1
+            less = self._low(mid) < wanted[left]
+            low[left[less]] = mid[less] + 1
+            high[left[~less]] = mid[~less]
+            left = left[low[left] < high[left]]
+        found = np.zeros(len(top), bool)
+        k = np.flatnonzero(low < end)
+        found[k] = self._low(low[k]) == wanted[k]
+        return low, found
 
 
 def dump(uri: str, arrays: dict[str, np.ndarray]) -> None:

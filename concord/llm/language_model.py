@@ -305,24 +305,30 @@ class Scorer:
         file = file_of(words.before[c], words.n[c], words.before[w], total, m.files)
         low, high = (file_of(words.before[c], words.n[c], np.full(len(c), x), total, m.files) for x in (0, total))
         p, children = np.zeros(len(c)), np.zeros(len(c), np.int64)
-        for f in np.unique(file).tolist():
+        # Keys ascend, and so do their files.
+        cuts = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(file)], strict=True):
+            f = int(file[lo])
             if f not in m.pairs:
                 continue
-            k = np.flatnonzero(file == f)
+            k = np.arange(lo, hi)
             keys, pointers, stored_p, first = self.level(f)
             ctx = words.id[c[k]] - first
             inside = (ctx >= 0) & (ctx < pointers.n - 1)
             k, ctx = k[inside], ctx[inside]
             if not len(k):
                 continue
-            one, back = np.unique(ctx, return_inverse=True)
+            new = np.concatenate(([True], ctx[1:] != ctx[:-1]))
+            one, back = ctx[new], np.cumsum(new) - 1
             start, end = pointers.access(one)[back], pointers.access(one + 1)[back]
             children[k] = end - start
-            k = k[(end > start) & (key[k] >= keys.base)]
-            i, found = keys.successor((key[k] - keys.base).astype(np.uint64))
+            some = (end > start) & (key[k] >= keys.base)
+            k, start, end = k[some], start[some], end[some]
+            i, found = keys.successor((key[k] - keys.base).astype(np.uint64), start, end)
             p[k[found]] = 10.0 ** (-STEP * stored_p[i[found]])
-        for j in np.flatnonzero(low != high).tolist():
-            children[j] = m.split.get(int(words.id[c[j]]), 0)
+        over = np.flatnonzero(low != high)
+        ctx, back = np.unique(words.id[c[over]], return_inverse=True)
+        children[over] = np.array([m.split.get(x, 0) for x in ctx.tolist()], np.int64)[back]
         return p, children
 
     def __call__(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
