@@ -32,10 +32,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +51,8 @@ CROWD, SMALL = 4.2, 64  # shingles to a bucket for the largest sets of a class;
 FLUSH = 2_000_000  # elements that a task ties at a time
 GROUP = 3_000_000  # shingles of a group of sets that are compared in one task
 TRIED = 4  # leaders, of the largest balls, that a set is tried with while there is one component
-HEAP = 500
-PROBE = 0.1  # weight of a heap step against a probe, in DivideSkip's choice of long lists
+HEAP, COUNT = 500, 1_000_000
+PROBE = 0.0085  # weight of a heap step against a probe, in DivideSkip's choice of long lists
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -181,23 +180,28 @@ def linked(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def merged(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
-    """How many of ascending lists hold each id: by a heap, or by counting where the heap would do more than HEAP steps."""
-    if sum(map(len, lists)) > HEAP:
-        yield from Counter(chain.from_iterable(lists)).items()
-    else:
-        for x, run in groupby(heapq.merge(*lists)):
-            yield x, sum(1 for _ in run)
-
+def t_occurrence(lists: list[array], least: int, most: int) -> dict[int, int]:
+    """DivideSkip: what stands in at least ``least`` of the ascending lists, with how many; most: ids there are.
 
-def t_occurrence(lists: list[list[int]], least: int, most: int) -> dict[int, int]:
-    """DivideSkip: what stands in at least ``least`` of the ascending lists, with how many; most: ids there are."""
+    Up to HEAP ids are merged by a heap; beyond, the short lists are merged by
+    counting, and up to COUNT ids none is long enough to be worth a probe.
+    """
     if len(lists) < least:
         return {}
     lists.sort(key=len, reverse=True)
-    long = min(least - 1, int(least / (PROBE * math.log2(most + 1) + 1)))
+    total = sum(map(len, lists))
+    long = min(least - 1, int(least / (PROBE * math.log2(most + 1) + 1))) if total <= HEAP or total > COUNT else 0
+    if total > HEAP:
+        n = np.bincount(np.concatenate([np.frombuffer(x, np.int32) for x in lists[long:]]))
+        ids = np.flatnonzero(n >= least - long)
+        n = n[ids]
+        for x in lists[:long]:
+            p = np.frombuffer(x, np.int32)
+            n += p[np.minimum(np.searchsorted(p, ids), len(p) - 1)] == ids
+        return dict(zip(ids[n >= least].tolist(), n[n >= least].tolist(), strict=True))
     out = {}
-    for x, n in merged(lists[long:]):
+    for x, run in groupby(heapq.merge(*lists[long:])):
+        n = sum(1 for _ in run)
         if n < least - long:
             continue
         for probe in lists[:long]:
@@ -228,7 +232,7 @@ def join_group(sets: list[np.ndarray], percent: int) -> list[int]:
     leaders: list[int] = []
     ball: list[list[int]] = []
     largest: list[int] = []  # places of the TRIED leaders with the largest balls
-    index: dict[int, list[int]] = {}
+    index: dict[int, array] = {}
     for x, s in enumerate(sets):
         # With one component nothing is left to connect but x: any leader it is linked with will do.
         own = next((k for k in largest if together(s, sets[leaders[k]], percent)), None) if groups == 1 else None
@@ -252,7 +256,7 @@ def join_group(sets: list[np.ndarray], percent: int) -> list[int]:
         if own is None:
             own = len(leaders)
             for t in s.tolist():
-                index.setdefault(t, []).append(own)
+                index.setdefault(t, array("i")).append(own)
             leaders.append(x)
             ball.append([])
         else:
@@ -312,7 +316,8 @@ def jaccard_components(docs: DataFrame, folder: str, text: str = "text", n: int
     sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / (group / 2)).cast("int").alias("blocks")).withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
     members = stored(members.join(sizes, "root"), f"{folder}/members")
     split = members.where("blocks > 1").limit(1).count() > 0
-    met = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(members.select(F.col("rep").alias("doc_id"), "node", "root", "blocks"), "doc_id")
+    # Sorted at every size: how many members there are must not change the plan.
+    met = docs.select("doc_id", F.col(text).cast("string").alias("text")).hint("merge").join(members.select(F.col("rep").alias("doc_id"), "node", "root", "blocks"), "doc_id")
     block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     met = met.withColumn("block", block)
     if split:

@@ -1,7 +1,9 @@
 import random
+from array import array
 
 import numpy as np
 
+from concord.llm import jaccard
 from concord.llm.common import WordHash, scratch
 from concord.llm.jaccard import class_of, elements, jaccard_components, join_group, linked, op8_jaccard_join, t_occurrence
 
@@ -48,10 +50,12 @@ def brute(ids, texts, percent=85):
     return {(d, len(s[i]), least[find(i)]) for i, d in enumerate(ids)}
 
 
-def test_t_occurrence():
+def test_t_occurrence(monkeypatch):
     rng = random.Random(3)
-    for _ in range(200):
-        lists = [sorted(rng.sample(range(30), rng.randint(1, 25))) for _ in range(rng.randint(1, 12))]
+    for k in range(600):
+        monkeypatch.setattr(jaccard, "HEAP", 500 if k % 3 else 0)
+        monkeypatch.setattr(jaccard, "COUNT", 0 if k % 2 else 10**6)
+        lists = [array("i", sorted(rng.sample(range(30), rng.randint(1, 25)))) for _ in range(rng.randint(1, 12))]
         least = rng.randint(1, 12)
         want = {x: n for x in range(30) if (n := sum(x in y for y in lists)) >= least}
         assert t_occurrence(lists, least, 30) == want
