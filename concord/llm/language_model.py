@@ -5,20 +5,26 @@ counts, both monotone and Elias-Fano coded; a word's rank is its id. Level 2
 holds the pairs that occur: for each context the monotone pointers to its
 children, and the children as ascending context * V + word, with the quantised
 discounted probability of each. A pair is looked up by a successor search within
-its context's children.
-
-    p(w | c) = max(n(c, w) - D, 0) / n(c) + D * children(c) / n(c) * p(w)
-    p(w)     = (n(w) + 1) / (N + V + 1)
-
-The first word of a document has the end of a document as context; an unknown
-context leaves p(w).
-
-Level 1 is dealt to files by the top bits of the hash. Level 2 is dealt by where
-a pair would stand among all pairs if words were independent, known from level 1
-alone: files are ranges of the trie of like size, without a sampling pass, and
-a frequent context is split between several. Counts are added up in each task
-before they are shuffled. Nothing but totals and one row for each file reaches
-the driver.
+its context's children. Level 3 holds all triples that occur, in the file of the
+pair that is their context: ascending pair's rank in the file * V + word, with
+the quantised discounted probability of each, and for each pair the quantised
+share that goes to level 2.
+
+    p(w | b, c) = max(n(b, c, w) - D, 0) / n(b, c) + D * children(b, c) / n(b, c) * p(w | c)
+    p(w | c)    = max(n(c, w) - D, 0) / n(c) + D * children(c) / n(c) * p(w)
+    p(w)        = (n(w) + 1) / (N + V + 1)
+
+score is of two levels, trigram_score of three. The first word of a document has
+the end of a document as its only context; an unknown context leaves the
+probability of the level below.
+
+Level 1 is dealt to files by the top bits of the hash. Levels 2 and 3 are dealt
+by where a pair would stand among all pairs if words were independent, known
+from level 1 alone: files are ranges of the trie of like size, without a sampling
+pass, and a frequent word is split between several as a context; a pair is not.
+Triples are counted once for both levels (each pair of a document starts a
+triple, the last one with nothing after it), added up in each task and shuffled
+as arrays. Nothing but totals and one row for each file reaches the driver.
 
 Defined results: a null text counts as empty and is just its end; with nothing
 to learn from, p is 1 over 1 (an empty model knows no word); repeated rows count
@@ -40,8 +46,10 @@ DISCOUNT = 0.75
 END = b""  # no word is empty
 FLUSH = 4_000_000  # tokens that a task adds up at a time
 FILE = 3_000_000  # words, or tokens of pairs, for each file
+PIECE = 200_000  # triples in a row of the shuffle
 STEP = 12.0 / 65535  # of a quantised log10 probability
 WORDS_KEPT = 400_000
+POWERS = 10.0 ** (-STEP * np.arange(65536))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -172,23 +180,40 @@ def framed(docs: list[list[bytes]]) -> list[list[bytes]]:
     return [[END, *d, END] for d in docs]
 
 
-def count_pairs(docs: DataFrame, model: "Model") -> DataFrame:
-    """file, key and n of pairs, added up within each task."""
+def counted_triples(pair: np.ndarray, after: np.ndarray, n: np.ndarray | None, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (pair, word after it) in order, and the sum of n (or how often each stands there)."""
+    # One number for both if it fits in 63 bits.
+    order = np.argsort(pair * (distinct + 1) + after) if distinct * distinct * (distinct + 1) < 2**63 else np.lexsort((after, pair))
+    pair, after = pair[order], after[order]
+    starts = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (after[1:] != after[:-1]))))
+    n = np.diff(np.append(starts, len(pair))) if n is None else np.add.reduceat(n[order], starts)
+    return pair[starts], after[starts], n
+
+
+def count_triples(docs: DataFrame, model: "Model") -> DataFrame:
+    """file, and arrays of pair, after and n, added up within each task; after is V where a document ends with the pair."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
         m = held.value
         words, kept, many = Words(m), [], 0
-        names = ["file", "key", "n"]
 
         def flush():
-            key, n = counted(kept)
-            c, w = key // m.distinct, key % m.distinct
+            pair, after, n = counted_triples(*map(np.concatenate, zip(*kept, strict=True)), None, m.distinct)
+            new = np.concatenate(([True], pair[1:] != pair[:-1]))
+            c, w = np.divmod(pair[new], m.distinct)
             # Sums by id, from the rows at hand.
             order = np.argsort(words.id)
             at = lambda ids: order[np.searchsorted(words.id, ids, sorter=order)]
             c, w = at(c), at(w)
-            return _pieces([file_of(words.before[c], words.n[c], words.before[w], m.total, m.files).astype(np.int32), key, n], names)
+            file = file_of(words.before[c], words.n[c], words.before[w], m.total, m.files)[np.cumsum(new) - 1]
+            cuts = [0, *(np.flatnonzero(file[1:] != file[:-1]) + 1).tolist(), len(file)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                for i in range(lo, hi, PIECE):
+                    j = min(hi, i + PIECE)
+                    # Differences of ascending pairs are small and compress well.
+                    row = {"file": int(file[lo]), "pair": np.diff(pair[i:j], prepend=0).tobytes(), "after": after[i:j].tobytes(), "n": n[i:j].tobytes()}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([("file", pa.int32()), ("pair", pa.binary()), ("after", pa.binary()), ("n", pa.binary())]))
 
         for b in batches(frames):
             docs = framed([tokens(t) for t in text_bytes(b.column(0))])
@@ -196,59 +221,61 @@ def count_pairs(docs: DataFrame, model: "Model") -> DataFrame:
                 yield from flush()
                 kept, many = [], 0
             rows = words.rows(docs)
-            for r in rows:
-                ids = words.id[r]
-                kept.append(ids[:-1] * m.distinct + ids[1:])
-                many += len(ids) - 1
+            ids = words.id[np.concatenate(rows)]
+            ends = np.cumsum([len(r) for r in rows]) - 1
+            after = np.append(ids[2:], m.distinct)
+            after[ends - 1] = m.distinct
+            # No pair goes over from a document to the next.
+            inside = np.ones(len(ids), bool)
+            inside[ends] = False
+            inside = inside[:-1]
+            kept.append(((ids[:-1] * m.distinct + ids[1:])[inside], after[inside]))
+            many += len(ids) - len(rows)
         if kept:
             yield from flush()
 
-    return docs.mapInArrow(run, "file int, key long, n long")
+    return docs.mapInArrow(run, "file int, pair binary, after binary, n binary")
+
 
+def quantised(p: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(-np.log10(np.maximum(p, 1e-12)) / STEP, 0, 65535)).astype(np.uint16)
 
-def write_pairs(pairs: DataFrame, model: "Model", folder: str) -> list[tuple]:
-    """Writes level 2; gives path, file and, of its first and last context, id and number of children."""
-    held = pairs.sparkSession.sparkContext.broadcast(model)
-    dealt = pairs.repartitionById(model.files, "file").sortWithinPartitions("file", "key")
+
+def write_pairs(triples: DataFrame, model: "Model", folder: str) -> list[tuple]:
+    """Writes levels 2 and 3; gives path, file and, of its first and last context, id and number of children."""
+    held = triples.sparkSession.sparkContext.broadcast(model)
+    dealt = triples.repartitionById(model.files, "file")
     schema = "path string, file long, first long, first_n long, last long, last_n long"
 
     def run(frames):
         m = held.value
-        words = None
-        file, keys, counts = None, [], []
-
-        def close():
-            nonlocal words
-            k, n = np.concatenate(keys), np.concatenate(counts)
-            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            k, n = k[starts], np.add.reduceat(n, starts)
+        words = Words(m)
+        rows: dict[int, list[tuple]] = {}
+        for b in batches(frames):
+            for r in b.to_pylist():
+                pair, after, n = (np.frombuffer(r[x], np.int64) for x in ("pair", "after", "n"))
+                rows.setdefault(r["file"], []).append((np.cumsum(pair), after, n))
+        for file in sorted(rows):
+            pair, after, n = counted_triples(*map(np.concatenate, zip(*rows.pop(file), strict=True)), m.distinct)
+            new = np.concatenate(([True], pair[1:] != pair[:-1]))
+            rank = np.cumsum(new) - 1
+            k, sums = pair[new], np.add.reduceat(n, np.flatnonzero(new))
             c = k // m.distinct
             first, last = int(c[0]), int(c[-1])
             children = np.bincount(c - first, minlength=last - first + 1)
-            words = words or Words(m)
             total = context_counts(words, np.arange(first, last + 1))[c - first]
-            p = (n - DISCOUNT) / total
+            real = after < m.distinct
+            rank, after, n = rank[real], after[real], n[real]
             path = f"{folder}/pairs-{file:05d}.trie"
             dump(
                 path,
                 EliasFano.of(k).arrays("key")
                 | EliasFano.of(np.concatenate(([0], np.cumsum(children)))).arrays("pointer")
-                | {"p": np.rint(np.clip(-np.log10(p) / STEP, 0, 65535)).astype(np.uint16), "first": np.array([first])},
+                | {"p": quantised((sums - DISCOUNT) / total), "first": np.array([first])}
+                | EliasFano.of(rank * m.distinct + after).arrays("next")
+                | {"next_p": quantised((n - DISCOUNT) / sums[rank]), "rest": quantised(DISCOUNT * np.bincount(rank, minlength=len(k)) / sums)},
             )
-            return pa.RecordBatch.from_pylist([{"path": path, "file": file, "first": first, "first_n": int(children[0]), "last": last, "last_n": int(children[-1])}])
-
-        for b in batches(frames):
-            f, k, n = (b.column(i).to_numpy() for i in range(3))
-            cuts = [0, *(np.flatnonzero(f[1:] != f[:-1]) + 1).tolist(), len(f)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if file is not None and f[i] != file:
-                    yield close()
-                    keys, counts = [], []
-                file = int(f[i])
-                keys.append(k[i:j])
-                counts.append(n[i:j])
-        if file is not None:
-            yield close()
+            yield pa.RecordBatch.from_pylist([{"path": path, "file": file, "first": first, "first_n": int(children[0]), "last": last, "last_n": int(children[-1])}])
 
     made = stored(dealt.mapInArrow(run, schema), f"{folder}/pair-files")
     return [tuple(r) for r in made.orderBy("file").collect()]
@@ -294,17 +321,17 @@ class Scorer:
     def level(self, file: int) -> tuple:
         if file not in self.open:
             a = mapped(self.model.pairs[file])
-            self.open[file] = EliasFano.load(a, "key"), EliasFano.load(a, "pointer"), a["p"], int(a["first"][0])
+            self.open[file] = EliasFano.load(a, "key"), EliasFano.load(a, "pointer"), a["p"], int(a["first"][0]), EliasFano.load(a, "next"), a["next_p"], a["rest"]
         return self.open[file]
 
-    def pairs(self, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of distinct pairs of known words (rows of words) in ascending order of keys: discounted probability, and number of children of the context."""
+    def pairs(self, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of distinct pairs of known words (rows of words) in ascending order of keys: discounted probability, number of children of the context, file, rank in it (-1: unknown) and, as a context itself, the share that goes to level 2."""
         m, words = self.model, self.words
         key = words.id[c] * m.distinct + words.id[w]
         total = max(1, m.total)
         file = file_of(words.before[c], words.n[c], words.before[w], total, m.files)
         low, high = (file_of(words.before[c], words.n[c], np.full(len(c), x), total, m.files) for x in (0, total))
-        p, children = np.zeros(len(c)), np.zeros(len(c), np.int64)
+        p, children, rank, rest = np.zeros(len(c)), np.zeros(len(c), np.int64), np.full(len(c), -1), np.ones(len(c))
         # Keys ascend, and so do their files.
         cuts = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(file)], strict=True):
@@ -312,7 +339,7 @@ class Scorer:
             if f not in m.pairs:
                 continue
             k = np.arange(lo, hi)
-            keys, pointers, stored_p, first = self.level(f)
+            keys, pointers, stored_p, first, _, _, stored_rest = self.level(f)
             ctx = words.id[c[k]] - first
             inside = (ctx >= 0) & (ctx < pointers.n - 1)
             k, ctx = k[inside], ctx[inside]
@@ -325,11 +352,24 @@ class Scorer:
             some = (end > start) & (key[k] >= keys.base)
             k, start, end = k[some], start[some], end[some]
             i, found = keys.successor((key[k] - keys.base).astype(np.uint64), start, end)
-            p[k[found]] = 10.0 ** (-STEP * stored_p[i[found]])
+            k, i = k[found], i[found]
+            p[k], rank[k], rest[k] = POWERS[stored_p[i]], i, POWERS[stored_rest[i]]
         over = np.flatnonzero(low != high)
         ctx, back = np.unique(words.id[c[over]], return_inverse=True)
         children[over] = np.array([m.split.get(x, 0) for x in ctx.tolist()], np.int64)[back]
-        return p, children
+        return p, children, file, rank, rest
+
+    def triples(self, file: np.ndarray, rank: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Discounted probability of words (ids) after known pairs, in ascending order of pair and word."""
+        p = np.zeros(len(file))
+        cuts = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(file)], strict=True):
+            nexts, stored_p = self.level(int(file[lo]))[4:6]
+            key = rank[lo:hi] * self.model.distinct + ids[lo:hi]
+            k = np.flatnonzero(key >= nexts.base) if nexts.n else np.empty(0, np.int64)
+            i, found = nexts.successor((key[k] - nexts.base).astype(np.uint64))
+            p[lo + k[found]] = POWERS[stored_p[i[found]]]
+        return p
 
     def __call__(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
         m, words = self.model, self.words
@@ -348,13 +388,31 @@ class Scorer:
             new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
             one, back = k[order[new]], np.empty(len(k), np.int64)
             back[order] = np.cumsum(new) - 1
-            p, children = self.pairs(c[one], w[one])
-            p[n[one] == 0] = 0.0
+            p, children, file, rank, rest = self.pairs(c[one], w[one])
+            unknown = n[one] == 0
+            p[unknown], rank[unknown] = 0.0, -1
             prob[k] = p[back] + DISCOUNT * children[back] / words.n[c[k]] * unigram[k]
         ends = np.cumsum(lengths)
+        triple = prob.copy()
+        if len(k):
+            # The pair before each word, as its place among the distinct ones.
+            pair = np.full(len(c) + 1, -1)
+            pair[k + 1] = np.where(rank >= 0, np.arange(len(rank)), -1)[back]
+            pair[ends] = -1
+            pair = pair[:-1]
+            k = np.flatnonzero(pair >= 0)
+            triple[k] = rest[pair[k]] * prob[k]
+            k = k[n[k] > 0]
+        if len(k):
+            key = pair[k] * m.distinct + words.id[w[k]]
+            order = np.argsort(key)
+            new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+            one, back = k[order[new]], np.empty(len(k), np.int64)
+            back[order] = np.cumsum(new) - 1
+            triple[k] += self.triples(file[pair[one]], rank[pair[one]], words.id[w[one]])[back]
         add = lambda x: np.add.reduceat(x, ends - lengths)  # noqa: E731  no document is without tokens
         return {
-            "n_tokens": lengths, "n_known": add((n > 0).astype(np.int64)), "base_score": add(np.log10(unigram)), "score": add(np.log10(prob)),
+            "n_tokens": lengths, "n_known": add((n > 0).astype(np.int64)), "base_score": add(np.log10(unigram)), "score": add(np.log10(prob)), "trigram_score": add(np.log10(triple)),
         }
 
 
@@ -366,15 +424,15 @@ def learn(docs: DataFrame, folder: str, text: str = "text") -> Model:
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     model = Model(*write_words(words, folder, distinct), total, distinct)
     if total:
-        model.add_pairs(write_pairs(count_pairs(docs, model), model, folder))
+        model.add_pairs(write_pairs(count_triples(docs, model), model, folder))
     return model
 
 
-RESULTS = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULTS = "n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double"
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with n_tokens, n_known, train_tokens, base_score and score."""
+    """docs with n_tokens, n_known, train_tokens, base_score, score and trigram_score."""
     tune_batches(docs.sparkSession)
     docs, schema = extended(docs, RESULTS)
     at = docs.columns.index(text)
@@ -386,8 +444,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             r = scorer(text_bytes(b.column(at)))
             train = pa.array(np.full(b.num_rows, scorer.model.total), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(r["n_tokens"]), pa.array(r["n_known"]), train, pa.array(r["base_score"]), pa.array(r["score"])],
-                [*b.schema.names, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                [*b.columns, pa.array(r["n_tokens"]), pa.array(r["n_known"]), train, pa.array(r["base_score"]), pa.array(r["score"]), pa.array(r["trigram_score"])],
+                [*b.schema.names, "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score"],
             )
 
     return docs.mapInArrow(run, schema)
@@ -398,4 +456,4 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = hash_bucket("doc_id", 7) == 2
     # A null doc_id has no remainder and is learned from.
     model = learn(docs.where(~F.coalesce(held_out, F.lit(False))), scratch(spark, "language-model"))
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score")

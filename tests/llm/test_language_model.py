@@ -97,3 +97,56 @@ def test_query(spark, small):
     got = lm.op3_language_model(spark, small).orderBy("doc_id").collect()
     assert [r.held_out for r in got] == held
     same(got, brute([r.text for r, h in zip(t, held, strict=True) if not h], [r.text for r in t]))
+
+
+def brute_trigrams(train, texts):
+    uni, bi, tri, kids, kids_2 = (Counter() for _ in range(5))
+    for t in train:
+        w = [b"", *words(t), b""]
+        uni.update(w[1:])
+        bi.update(zip(w, w[1:], strict=False))
+        tri.update(zip(w, w[1:], w[2:], strict=False))
+    for a, _ in bi:
+        kids[a] += 1
+    for a, b, _ in tri:
+        kids_2[a, b] += 1
+    total, distinct, out = sum(uni.values()), len(uni), []
+    for t in texts:
+        w, score = [b"", *words(t), b""], 0.0
+        for i in range(1, len(w)):
+            p, c, pair = (uni[w[i]] + 1) / (total + distinct + 1), w[i - 1], tuple(w[i - 2 : i]) if i > 1 else None
+            if uni[c]:
+                p = max(bi[c, w[i]] - lm.DISCOUNT, 0) / uni[c] + lm.DISCOUNT * kids[c] / uni[c] * p
+            if pair and bi[pair]:
+                p = max(tri[*pair, w[i]] - lm.DISCOUNT, 0) / bi[pair] + lm.DISCOUNT * kids_2[pair] / bi[pair] * p
+            score += math.log10(p)
+        out.append((len(w) - 1, score))
+    return out
+
+
+@pytest.mark.parametrize("size", [3_000_000, 7])
+def test_trigrams(spark, docs, size, monkeypatch):
+    monkeypatch.setattr(lm, "FILE", size)
+    model = lm.learn(docs(TEXTS).repartition(3), scratch(spark, "t"))
+    test = [*TEST, "cat sat on the mat", "mat the on sat cat", "the cat sat unknown mat"]
+    got = lm.score(docs(test, ["trigram_score"]), model).orderBy("doc_id").collect()
+    for g, (n, w) in zip(got, brute_trigrams(TEXTS, test), strict=True):
+        assert g.trigram_score == pytest.approx(w, abs=4e-4 * n + 1e-9)
+    # A repeated phrase of three words and more gains from the third level.
+    assert got[2].trigram_score > got[2].score + 0.3
+
+
+def test_triples_of_many_words():
+    rng = np.random.default_rng(3)
+    pair, after, n = rng.integers(0, 30, 500), rng.integers(0, 5, 500), rng.integers(1, 9, 500)
+    for weights in (None, n):
+        small, large = (lm.counted_triples(pair, after, weights, d) for d in (5, 2**22))
+        assert all((a == b).all() for a, b in zip(small, large, strict=True))
+
+
+def test_query_trigrams(spark, small):
+    t = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
+    got = lm.op3_language_model(spark, small).orderBy("doc_id").collect()
+    want = brute_trigrams([r.text for r in t if zlib.crc32(str(r.doc_id).encode()) % 7 != 2], [r.text for r in t])
+    for g, (n, w) in zip(got, want, strict=True):
+        assert g.trigram_score == pytest.approx(w, abs=4e-4 * n + 1e-9)
