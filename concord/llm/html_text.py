@@ -6,7 +6,8 @@ each path, text length and punctuation are added up and divided by its number
 of blocks; links count against a path. Both ratios are smoothed over the blocks
 in page order, averaged by path and fused into their geometric mean; paths at
 or above the deviation of the fused ratio are content. What holds nearly all of
-the content's text is the article: its other blocks (headings, short lists)
+the content's text is the article (the innermost article or main element that
+does, if there is one, and all of it): its other blocks (headings, short lists)
 belong to it. Elements that are never main text (menus, page headers and
 footers, sidebars, notices, adverts, forms, scripts, styles, comments of
 readers) are left out by tag, role, class or id.
@@ -40,13 +41,15 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 WITHIN = {"ul", "ol", "dl", "table"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = "script|style|textarea|title|noscript|iframe|xmp|svg|template|select|button|object|canvas|math"
-# Classes, ids and roles of what is not main text.
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|"
+# Classes, ids and roles of what is not main text; whole names, or compounds with words that say where or what it is.
+_BOILER = (
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|"
     r"footer|masthead|topbar|site-header|page-header|comments?|commentlist|respond|disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|"
-    r"signup|login|search|contentinfo|complementary|pagination|pager|skip|toolbar)(?:$|[\s_-])",
-    re.I,
+    r"signup|login|search|contentinfo|complementary|pagination|pager|skip|toolbar)"
 )
+_BEFORE = r"(?:site|page|main|primary|secondary|top|bottom|global|mobile|post|entry|user|reader)"
+_AFTER = r"(?:ads?|bar|box|area|lists?|links?|buttons?|icons?|block|slot|posts|form|items?|text|message)"
+BOILER = re.compile(rf"(?:^|\s)(?:{_BEFORE}[_-]+)*{_BOILER}(?:[_-]+{_BOILER})*(?:[_-]+{_AFTER})*(?:$|\s)", re.I)
 LABEL = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({RAW})\b[^<>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""",
@@ -158,7 +161,7 @@ def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
 
 
 def article_of(blocks: list[Block], paths: set[tuple[str, ...]]) -> tuple[str, ...]:
-    """The longest path that holds COVER of the text of the content paths."""
+    """The longest path that holds COVER of the text of the content paths, up to its innermost article or main element if it has one."""
     weight: dict[tuple[str, ...], int] = {}
     for b in blocks:
         if b.path in paths:
@@ -172,8 +175,10 @@ def article_of(blocks: list[Block], paths: set[tuple[str, ...]]) -> tuple[str, .
                 held[p[:n]] = held.get(p[:n], 0) + w
         top = max(held, key=held.get, default=None)
         if top is None or held[top] < COVER * all_of:
-            return best
+            break
         best = top
+    named = [i for i, x in enumerate(best, 1) if x.split(".")[0] in ("article", "main")]
+    return best[: named[-1]] if named else best
 
 
 def main_text(page: str | None) -> str:
@@ -189,7 +194,7 @@ def main_text(page: str | None) -> str:
     for b in blocks:
         own = b.path[: len(inside)] == inside
         tag = b.path[-1].split(".")[0] if b.path else ""
-        if own and (whole or b.path in paths or b.links <= LINKED * len(b.text) or tag in HEADINGS) or b.path in paths and not whole:
+        if own and (whole or b.path in paths or b.links <= LINKED * len(b.text) or tag in HEADINGS) or b.path in paths:
             out.append(b.text)
     return "\n".join(out)
 

@@ -53,3 +53,27 @@ def test_frame(spark):
     d = spark.createDataFrame([(1, None), (2, "<p>a, b.</p>"), (2, "<p>a, b.</p>")], "page_id long, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     assert [(r.text, r.n_chars) for r in extract(d).orderBy("page_id").collect()] == [("", 0), ("a, b.", 5), ("a, b.", 5)]
     assert extract(d.limit(0)).count() == 0
+
+
+def test_article_with_body():
+    own = " ".join(LONG.split())
+    page = f"<body><article><h1>T</h1><p class=lead>lead</p><div class=body><p>{LONG * 3}</p><p>{LONG * 3}</p></div></article></body>"
+    assert main_text(page).split("\n") == ["T", "lead", *[" ".join([own] * 3)] * 2]
+
+
+def test_sections():
+    own = " ".join(LONG.split())
+    for tag in ("main", "article", "div"):
+        page = f"<body><{tag}><section id=a><p>{LONG}</p></section><section id=b>{f'<p>{LONG}</p>' * 13}</section></{tag}></body>"
+        assert main_text(page).split("\n") == [own] * 14, tag
+    # Content beside the article stays too.
+    page = f"<body><div class=intro><p>{LONG}</p></div><article>{f'<p>{LONG}</p>' * 13}</article></body>"
+    assert main_text(page).split("\n") == [own] * 14
+
+
+def test_class_names():
+    own = " ".join(LONG.split())
+    for name in ("elementor-widget elementor-widget-text", "content-area no-sidebar", "has-sidebar", "page-with-sidebar", "search-results", "sidebar-page-container"):
+        assert main_text(f"<body><div class='{name}'><p>{LONG}</p></div></body>") == own, name
+    for name in ("widget", "x sidebar", "site-footer", "main-navigation", "comment-list", "ad-box", "cookie-notice", "share_buttons", "related-posts"):
+        assert main_text(f"<body><div><p>{LONG}</p></div><div class='{name}'><p>{LONG}</p></div></body>") == own, name
