@@ -13,7 +13,9 @@ text goes into a score.
 Defined results: null and empty texts get the score of their (all-zero)
 features; rows without a label or with a null one are not learned from; with no
 labelled rows, or labels of one kind only, the score is the share of label 1
-(0 without rows). Repeated rows score alike. Input columns that are named like
+(0 without rows). With fewer than FEW labelled rows, or labels of one kind only
+among those for calibration or for the trees, the trees learn from all of them
+and the score is their own probability, not calibrated. Repeated rows score alike. Input columns that are named like
 results are replaced.
 """
 
@@ -33,6 +35,7 @@ SAMPLE = 12_000
 LIMIT = 0.7
 TREES, DEPTH, RATE, RIDGE, BINS, LEAST = 60, 3, 0.2, 1.0, 32, 5.0
 CALIBRATE = 4  # one labelled row of so many is kept for calibration
+FEW = 40  # labelled rows; with fewer, none is kept for calibration
 LEARNED = 200
 
 # Insults and second-person words.
@@ -116,6 +119,8 @@ class Trees:
     """Newton boosting on binned features; complete trees of fixed depth as arrays."""
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
+        # A leaf of few rows may be smaller.
+        self.least = min(LEAST, max(1.0, len(y) // 8))
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         b = self.binned(x)
         self.start = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
@@ -143,7 +148,7 @@ class Trees:
                 gt, ht = gs[:, -1:], hs[:, -1:]
                 gain = gs**2 / (hs + RIDGE) + (gt - gs) ** 2 / (ht - hs + RIDGE) - gt**2 / (ht + RIDGE)
                 n = np.bincount(k, minlength=many * (BINS + 1)).reshape(many, -1).cumsum(1)
-                gain[(n < LEAST) | (n[:, -1:] - n < LEAST)] = -1
+                gain[(n < self.least) | (n[:, -1:] - n < self.least)] = -1
                 top = gain.argmax(1)
                 for i in np.flatnonzero(gain[np.arange(many), top] > best):
                     best[i], f[base + i], c[base + i] = gain[i, top[i]], j, top[i]
@@ -189,22 +194,25 @@ class Model:
     def fit(self, texts: list[bytes], y: np.ndarray) -> "Model":
         self.share = float(y.mean()) if len(y) else 0.0
         kept = np.arange(len(y)) % CALIBRATE == 0
-        if len(y) < 40 or len(set(y[~kept])) < 2 or len(set(y[kept])) < 2:
+        if len(set(y)) < 2:
             return self
+        if len(y) < FEW or len(set(y[~kept])) < 2 or len(set(y[kept])) < 2:
+            kept[:] = False
         # The learned words come from rows whose features the trees don't learn from: half and half.
         half = np.flatnonzero(~kept)[::2]
         self.learned = learn_lexicon([texts[i] for i in half], y[half])
         make = Features(self.learned)
         x = np.array([make(t) for t in texts])
         self.trees = Trees().fit(x[~kept], y[~kept])
-        self.knots, self.means = isotonic(self.trees.margin(x[kept]), y[kept])
+        self.calibration = isotonic(self.trees.margin(x[kept]), y[kept]) if kept.any() else None
         return self
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.share)
         make = Features(self.learned)
-        return np.interp(self.trees.margin(np.array([make(t) for t in texts])), self.knots, self.means)
+        margin = self.trees.margin(np.array([make(t) for t in texts]))
+        return np.interp(margin, *self.calibration) if self.calibration else 1 / (1 + np.exp(-margin))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:

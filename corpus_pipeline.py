@@ -7,7 +7,7 @@ a mark in place of each secret; packing cuts what is left into token sequences.
 Each stage returns the columns of documents, but for the last, whose rows are
 pieces.
 
-Defined results: null texts pass the filters (they hold nothing to reject) and
+Defined results: null texts, and those without words, pass the filters (they hold nothing to reject) and
 give one piece; rows repeated in id and text are one; an empty table
 gives no rows; columns beyond those of documents are carried along.
 """
@@ -30,7 +30,9 @@ MARK = "[SECRET]"
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(hash_bucket("doc_id", 3) != 1)
     scored = score_toxicity(docs, train(docs, labels))
-    return scored.where("predicted = 0").select(docs.columns)
+    # As the operator has it, words are of 0-9, letters and everything beyond ASCII.
+    wordless = ~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    return scored.where((F.col("predicted") == 0) | wordless).select(docs.columns)
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,10 @@ def test_repeated_rows(spark, docs):
     got = cp.jaccard(spark, d, "").collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id) for r in got) == [-1, 2, 3, 7]
     assert cp.jaccard(spark, d.limit(0), "").count() == 0
+
+
+def test_wordless_pass_toxicity(spark, docs, tmp_path):
+    """Even where every score reaches the limit."""
+    spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = docs(["you idiot", None, "", " .. ", "é"])
+    assert sorted(r.doc_id for r in cp.toxicity(spark, d, str(tmp_path)).collect()) == [1, 2, 3]

@@ -43,3 +43,11 @@ def test_query(spark, small):
     held = [(r.predicted, labels[i]) for i, r in out.items() if r.held_out and i in labels]
     assert sum(p for p, y in held if y == 0) <= 0.02 * len(held)
     assert sum(p for p, y in held if y) >= 0.4 * sum(y for _, y in held)
+
+
+def test_few_labels():
+    """Toxic texts are told from clean ones by few labelled rows, and with toxic ones outside the calibration rows only."""
+    bad, good = b"you stupid idiot, you are trash", b"a calm day by the sea with friends"
+    for y in ([1, 0], [1, 0, 1, 0, 1, 0], [1, 0] * 19, [0, 1, 1, 1] * 15):
+        a, b = Model().fit([bad if v else good for v in y], np.array(y, float)).score([bad, good])
+        assert a >= 0.7 and b < 0.5, (len(y), a, b)
