@@ -34,6 +34,9 @@ def test_run(spark, tmp_path):
         if i % 13 == 1:
             w.append("token=abcdef123")
         texts.append(" ".join(w))
+    # A long document with one passage, far below one word in twenty.
+    texts.append(" ".join([*rng.choices(voc, k=900), *item.split()[2:15], *rng.choices(voc, k=900)]))
+    long = len(texts) - 1
     texts += texts[:15] + [texts[i] + " more" for i in range(20, 40)] + [None, "", "  "]
     d = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     sf = str(tmp_path)
@@ -50,7 +53,9 @@ def test_run(spark, tmp_path):
     ids = sorted(kept)
     kept = {i: kept[i] for i, _, c in sorted(groups(ids, [kept[i] for i in ids])) if i == c}
     bad = windows(list(kept.values()), [(1, item)])
-    kept = {i: t for (i, t), (*_, c) in zip(kept.items(), bad, strict=True) if not c}
+    assert bad[list(kept).index(long)][1:] == (13, ["1"], False)
+    kept = {i: t for (i, t), (_, hit, *_) in zip(kept.items(), bad, strict=True) if not hit}
+    assert long not in kept
     kept = {i: redacted(t, secrets(t), cp.MARK) for i, t in kept.items()}
     tok = Tokenizer.from_file(default_vocabulary())
     want = {(i, zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in kept.items()}
