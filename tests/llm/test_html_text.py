@@ -77,3 +77,41 @@ def test_class_names():
         assert main_text(f"<body><div class='{name}'><p>{LONG}</p></div></body>") == own, name
     for name in ("widget", "x sidebar", "site-footer", "main-navigation", "comment-list", "ad-box", "cookie-notice", "share_buttons", "related-posts"):
         assert main_text(f"<body><div><p>{LONG}</p></div><div class='{name}'><p>{LONG}</p></div></body>") == own, name
+
+
+OWN = " ".join(LONG.split())
+
+
+def test_no_text_is_lost():
+    """Closed in themselves, never closed, or shown by a browser."""
+    inside = lambda x: main_text(f"<body><article><p>{LONG}</p>{x}<p>{LONG}</p></article><div class=ad>{LONG}</div></body>").split("\n")
+    for x, want in (
+        ("<p><svg class='i'/>Second.</p>", ["Second."]), ("<p>Second <svg><path d=x><title>icon</title></svg>here.</p>", ["Second here."]), ("<p>Second.<svg><path></p>", ["Second."]),
+        ("<p>Second.<script>var x</p>", ["Second."]), ("<p><iframe src='/x'/>Second.</p>", ["Second."]), ("<p>Energy is <math><mi>E</mi>=m</math>.</p>", ["Energy is E=m."]),
+        ("<p>Press <button>OK</button> now.</p>", ["Press OK now."]), ("<p><canvas>a</canvas> <object>b</object></p>", ["a b"]), ("<noscript><p>Second.</p></noscript>", ["Second."]),
+        ("<noscript>Please enable JavaScript.</noscript>", []), ("<div><button>Share</button> <button>Print</button></div>", []), ("<p>Go <button type=submit>Send</button></p>", ["Go"]),
+        ("<select><option>a<option>b</select>", []), ("<template><p>x</p></template>", []), ("<xmp>a <b> &amp; c</xmp>", ["a <b> &amp; c"]), ("<p title=it's>one</p><p class='x'>two</p>", ["one", "two"]),
+        ("<div class='ad'/><p>Second.</p>", ["Second."]), ("<p>a<!-->b<!-- c -->d</p>", ["abd"]), ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]), ("<p>one<hr>two</p>", ["one", "two"]),
+    ):
+        assert inside(x) == [OWN, *want, OWN], x
+    # Nothing around the script ends: the rest is script.
+    assert main_text(f"<p>{LONG}<script>x") == OWN
+
+
+def test_deep():
+    """Work is linear in the nesting."""
+    began = time.time()
+    for page in ("<div>text here, and more." * 20_000, "<ul><li>a, b." * 20_000, "<div>" * 20_000 + "<li>a, b c." * 20_000 + "<script>" * 20_000 + "<svg>" * 20_000 + "<p>x" * 20_000):
+        main_text(page)
+    assert main_text("<div>" * 20_000 + f"<p>{LONG}") == OWN
+    assert time.time() - began < 8
+
+
+def test_ratios_decide():
+    """No class, id or helpful tag: links, short lines and a footer of the same tag path as the paragraphs go."""
+    menu = "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(8))
+    foot = "<div><p>All rights reserved</p></div>"
+    page = f"<body><div><ul>{menu}</ul></div><div><h2>Head</h2><p>{LONG * 2}</p><p>Short.</p><p>{LONG * 3}</p><ul><li>one</li></ul></div><div><ul>{menu}</ul></div>{foot}</body>"
+    assert main_text(page).split("\n") == ["Head", " ".join([OWN] * 2), "Short.", " ".join([OWN] * 3), "one"]
+    page = f"<body><ul>{menu}</ul><h1>Head</h1><p>{LONG}</p><ul><li>one</li></ul><p>{LONG}</p><div>All rights reserved</div></body>"
+    assert main_text(page).split("\n") == ["Head", OWN, "one", OWN]
