@@ -14,7 +14,8 @@ mac are added when their score, raised by context words nearby, reaches
 
 Defined results: a null text counts as empty; no spans give zero counts, an
 empty span list and the digest of the empty string. Rows are never joined or
-grouped, so repeated ids keep their rows and other columns are left alone.
+grouped, so repeated ids keep their rows; other columns are left alone, but for
+one named pii, which is replaced.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "mac")
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "mac": 0.5}
 NEAR, BONUS, THRESHOLD = 40, 0.3, 0.6
+PIECE = 512  # code points of the pieces of a text from which context is cut; over NEAR
 
 SPAN = "array<struct<start:int,kind:int,end:int,score:double>>"
 
@@ -108,23 +110,46 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _places(kind: str, text: Column, found: Column) -> Column:
+def _starts(text: Column, kind: str, found: Column) -> Column:
+    """Where the matches of one kind start (code points, from 0).
+
+    Running sums over groups of about sqrt(n) matches, then over the groups: an
+    array that grows by one at a time is copied each time, so none gets long.
+    """
+    n = F.size(found)
+    size = F.ceil(F.sqrt(n)).cast("int")
+    gaps = F.slice(F.split(text, _PATTERN[kind], -1), 1, n)
+    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    within = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["gap"])).alias("out"))
+    over = lambda acc, g: F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    # An array of one binds a value that is used more than once.
+    groups = lambda s: F.transform(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1), lambda i: F.aggregate(F.slice(s, i * size + 1, size), zero, within))
+    moved = lambda gs: F.flatten(F.zip_with(gs, F.aggregate(gs, zero, over)["out"], lambda g, base: F.transform(g["out"], lambda x: x + base)))
+    return F.get(F.transform(F.transform(F.array(steps), groups), moved), F.lit(0))
+
+
+def _window(pieces: Column, at: Column, n: Column) -> Column:
+    """n (at most NEAR) code points of the text from a place on."""
+    i = (at / PIECE).cast("int")
+    both = F.concat(F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, i + 1), F.lit("")))
+    return F.substring(both, at % PIECE + 1, n)
+
+
+def _places(kind: str, text: Column, pieces: Column, found: Column) -> Column:
     """Confirmed spans of one kind, in order of place."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def span(x: Column) -> Column:
+        start = x["start"]
         end = start + F.length(x["m"])
-        near = F.lower(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, NEAR + F.length(x["m"]) + NEAR))
+        lead = F.greatest(start - NEAR, F.lit(0))
+        near = F.lower(F.concat(_window(pieces, lead, start - lead), x["m"], _window(pieces, end, F.lit(NEAR))))
         score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), BONUS).otherwise(0.0))
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), score.alias("score"))
-        kept = F.when(confirmed(kind, x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.cast(SPAN).alias("out"))
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), score.alias("score"))
 
-    gaps = F.slice(F.split(text, _PATTERN[kind], -1), 1, F.size(found))
-    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("m"))
-    zipped = F.transform(zipped, lambda z: F.struct(z["gap"].alias("gap"), z["m"].alias("m")))
-    return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(zipped, zero, step, lambda a: a["out"]))
+    placed = F.zip_with(_starts(text, kind, found), found, lambda s, m: F.struct(s.alias("start"), m.alias("m")))
+    spans = F.transform(F.filter(placed, lambda x: confirmed(kind, x["m"])), span)
+    return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(spans.cast(SPAN))
 
 
 _PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN, "mac": MAC}
@@ -132,14 +157,19 @@ _PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN
 
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with ``pii``: spans (start, kind's number, end, score), by start, then kind."""
+    own = "_pii"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = f"_{own}"
     none = F.array().cast("array<string>")
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    t = F.col("_text")
+    t, match = F.col(f"{own}_text"), {k: F.col(f"{own}_{k}") for k in KINDS}
+    out = docs.withColumn(f"{own}_text", F.coalesce(F.col(text), F.lit("")))
     some = {k: _matches(t, _PATTERN[k]) for k in KINDS}
-    out = out.withColumns({f"_m_{k}": F.when(_NEEDS[k](t), m).otherwise(none) if k in _NEEDS else m for k, m in some.items()})
-    spans = F.concat(*(_places(k, t, F.col(f"_m_{k}")) for k in KINDS))
+    out = out.withColumns({f"{own}_{k}": F.when(_NEEDS[k](t), m).otherwise(none) if k in _NEEDS else m for k, m in some.items()})
+    found = sum((F.size(m) for m in match.values()), F.lit(0))
+    out = out.withColumn(f"{own}_pieces", F.when(found > 0, _matches(t, rf"(?s).{{1,{PIECE}}}")).otherwise(none))
+    spans = F.concat(*(_places(k, t, F.col(f"{own}_pieces"), match[k]) for k in KINDS))
     out = out.withColumn("pii", F.array_sort(F.filter(spans, lambda s: (s["kind"] < len(BASE)) | (s["score"] >= threshold))))
-    return out.drop("_text", *(f"_m_{k}" for k in KINDS))
+    return out.drop(f"{own}_text", f"{own}_pieces", *(f"{own}_{k}" for k in KINDS))
 
 
 def labelled(spans: Column) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from concord.llm.pii import find_pii, labelled, op2_pii
 
@@ -31,6 +32,7 @@ TEXTS = [
     None, "", "a@b.c_d@e.f g@h i@j.k.", "mail x.y+z@ex-1.org, y@@z.com a@b..c.d", "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.255.0 1.2.3", "4111 1111 1111 1111 and 4111-1111 1111 1112",
     "😀 +1 (389) 555-5010 call; +12 +1.....2 +123456789012345678", "5  4111111111111111 5 4111111111111111", "call 4111111111111111-", "a" * 30_000, "1." * 20_000, "x@" + "a." * 20_000, "1 " * 30_000 + "9",
     "+1" * 3000, "DE89 3704 0044 0532 0130 00 bank account GB82WEST12345698765432", "my ssn is 123-45-6789; 000-12-3456", "a@b.c a@b.c",
+    "ssn " + "123-45-6789 " * 3, "é😀" * 600 + " ssn " + "😀" * 30 + " 123-45-6789 a@b.c " + "x" * 600,
 ]
 
 
@@ -44,8 +46,20 @@ def test_small(docs):
     for t, g in zip(TEXTS, got, strict=True):
         assert base(None, g) == brute(t), t
     assert "iban:0:27" in got[14] and got[14].count("iban") == 2
-    assert got[15].count("ssn") == 1
-    assert find_pii(docs([]) if False else docs(["x"]).limit(0)).count() == 0
+    assert got[15].count("ssn") == 1 and got[17].count("ssn") == 3 and got[18].count("ssn") == 1
+    assert find_pii(docs(["x"]).limit(0)).count() == 0
+    kept = find_pii(docs(["a@b.c"], ["_text", "_m_email", "_pii_text", "pii"]))
+    assert kept.first()._text == kept.first()._m_email == kept.first()._pii_text == "x" and len(kept.first().pii) == 1
+
+
+def test_many_matches(docs):
+    """100,000 matches in one text take seconds."""
+    text = "host 10.0.0.1 mail a@b.c é " * 50_000
+    began = time.time()
+    d = find_pii(docs([text, text[:-1]]))
+    got = [r[0] for r in d.orderBy("doc_id").select(labelled(d["pii"])).collect()]
+    assert time.time() - began < 40
+    assert got == [brute(text), brute(text[:-1])]
 
 
 def test_query(spark, small):
