@@ -49,9 +49,11 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
     "key": re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----[A-Za-z0-9+/=\s]+-----END \1-----"),
 }
+#: Where a pattern fails at a keyword, it fails at all further ones of the same run.
+RUNS = {"jwt": re.compile(r"[A-Za-z0-9_-]*+")}
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -112,10 +114,14 @@ def scan(text: str | None, a: ahocorasick.Automaton) -> list[tuple[str, int, int
     for kind, places in starts.items():
         end, pattern, rank = 0, PATTERNS[kind], KINDS.index(kind)
         for p in sorted(set(places)):
-            if p >= end and (m := pattern.match(text, p)):
+            if p < end:
+                continue
+            if m := pattern.match(text, p):
                 end = m.end()
                 if valid(kind, m):
                     found.append((p, rank, end))
+            elif kind in RUNS:
+                end = RUNS[kind].match(text, p).end()
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 import zlib
 
 from concord.llm.secrets import automaton, base62, find_secrets, op7_secrets, redacted, scan
@@ -40,6 +41,17 @@ def test_scan():
     assert redacted("a token=abcdef b", [("assign", 2, 14), ("hex", 8, 14)], "#") == "a # b"
 
 
+def test_long_runs():
+    """Keywords within one run are tried once."""
+    a, jwt = automaton(), f"{b64({'a': 1})}.{b64({'b': 2})}.sig"
+    began = time.time()
+    for t in ("eyJ" * 350_000, "eyJ" * 200_000 + ".eyJ" + "eyJ" * 200_000, "eyJa." * 200_000, "AKIA " * 200_000, "-----BEGIN PRIVATE KEY-----a" * 40_000, "token=" * 200_000, "ghp_" * 200_000):
+        assert not [x for x in scan(t, a) if x[0] in ("jwt", "key", "github")], t[:20]
+    assert [x[0] for x in scan("eyJ" * 350_000 + " " + jwt, a)] == ["jwt"]
+    assert [x[:2] for x in scan("eyJ.eyJ. " + jwt + " " + jwt, a)] == [("jwt", 9), ("jwt", 10 + len(jwt))]
+    assert time.time() - began < 12
+
+
 def test_frame(docs):
     d = docs(TEXTS, ["secrets", "spans"])
     got = find_secrets(d, redact="[X]").orderBy("doc_id").collect()
