@@ -148,6 +148,23 @@ def dump(uri: str, arrays: dict[str, np.ndarray]) -> None:
     write_file(uri, fill)
 
 
+def arrays_of(raw: np.ndarray) -> dict[str, np.ndarray]:
+    n = int.from_bytes(raw[:8].tobytes(), "little")
+    head = json.loads(raw[8 : 8 + n].tobytes())
+    out = {}
+    for name, (kind, at, many) in head.items():
+        start = 8 + n + at
+        out[name] = np.ndarray(many, kind, raw, start) if many else np.empty(0, kind)
+    return out
+
+
+def loaded(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of such a file, in memory."""
+    fs, path = open_fs(uri)
+    with fs.open_input_file(path) as f:
+        return arrays_of(np.frombuffer(f.read(), np.uint8))
+
+
 def mapped(uri: str) -> dict[str, np.ndarray]:
     """The arrays of such a file, memory-mapped; from a remote store by an unlinked copy."""
     fs, path = open_fs(uri)
@@ -159,10 +176,4 @@ def mapped(uri: str) -> dict[str, np.ndarray]:
                 f.write(block)
         raw = np.memmap(f.name, np.uint8, "r")
         os.unlink(f.name)
-    n = int.from_bytes(raw[:8].tobytes(), "little")
-    head = json.loads(raw[8 : 8 + n].tobytes())
-    out = {}
-    for name, (kind, at, many) in head.items():
-        start = 8 + n + at
-        out[name] = np.ndarray(many, kind, raw, start) if many else np.empty(0, kind)
-    return out
+    return arrays_of(raw)

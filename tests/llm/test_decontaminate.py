@@ -1,5 +1,7 @@
+import random
 import re
 
+import concord.llm.decontaminate as dc
 from concord.llm.decontaminate import decontaminate, op1_decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -42,10 +44,26 @@ def test_small(spark, docs):
     want = brute(TEXTS, ITEMS)
     assert rows(decontaminate(d, items)) == want
     assert rows(decontaminate(d, items, block_words=5)) == want
+    kept = decontaminate(docs(TEXTS[:3], ["_key", "block"]), items)
+    assert {(r._key, r.block) for r in kept.collect()} == {("x", "x")}
     assert rows(decontaminate(d, items.limit(0)))[2] == (13, 0, [], False)
     assert decontaminate(d.limit(0), items).count() == 0
 
 
+def test_stretches(spark, docs, monkeypatch):
+    """Long items in several stretches, candidates in several parts, many common words."""
+    monkeypatch.setattr(dc, "STRETCH", 3)
+    monkeypatch.setattr(dc, "CANDIDATES", 10)
+    assert [len(x) for x in dc.stretches(list(range(20)), 5)] == [7, 7, 7, 7, 7, 5] and dc.stretches([], 5) == [] and dc.stretches([1], 5) == [[1]]
+    rng = random.Random(6)
+    item = lambda n: " ".join(rng.choices("abcd", k=n))
+    items = [(i, item(rng.randint(1, 30))) for i in range(30)]
+    texts = [item(rng.randint(0, 60)) for _ in range(60)] + [items[3][1], " ".join(x for _, x in items)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    for window, words in ((4, 400_000), (6, 20), (13, 100)):
+        assert rows(decontaminate(docs(texts), frame, window=window, block_words=words)) == brute(texts, items, window), window
+
+
 def test_query(spark, small):
     t = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
