@@ -31,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    is made and set.
+    Only where that setting is absent and Spark is one process (tests) a
+    temporary folder is made and set; on a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = getattr(shared_dir, "own", None)
         if own is None or not os.path.isdir(own):
             own = shared_dir.own = tempfile.mkdtemp(prefix="concord-")
@@ -45,9 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/concord/{name}-{uuid.uuid4().hex}"
+    """A fresh folder URI below the shared folder; removed when this process ends, for results may be read from it until then."""
+    path = f"{shared_dir(spark).rstrip('/')}/concord/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(lambda: [drop_scratch(x) for x in _made])
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -57,10 +66,11 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def drop_scratch(path: str) -> None:
-    fs, at = open_fs(path)
+    """Removes a folder that nothing reads any more; what cannot be removed stays."""
     try:
+        fs, at = open_fs(path)
         fs.delete_dir(at)
-    except (FileNotFoundError, OSError):
+    except (OSError, pa.ArrowException):
         return
 
 
@@ -146,7 +156,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]{1,100}")
 #: What the vocabulary's own splitter makes of such a stretch, once lower-cased.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The parts of a tokenizer file for which texts may be cut at white space and pieces encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -174,11 +192,12 @@ class Pieces(dict):
 class Encoder(dict):
     """Text -> token ids (little-endian unsigned 32-bit), by the tokenizers library.
 
-    The tokenizer never joins across white space, so each stretch between
-    spaces or line feeds is encoded once and remembered, up to a bound. A
-    stretch of plain characters is cut as the vocabulary's splitter would and
-    its pieces go to the library's BPE model; any other goes through the whole
-    tokenizer (so does every one if a vocabulary has another splitter).
+    A tokenizer of the known kind never joins across white space, so each
+    stretch between spaces or line feeds is encoded once and remembered, up to a
+    bound. A stretch of plain characters is cut as the vocabulary's splitter
+    would and its pieces go to the library's BPE model; any other goes through
+    the whole tokenizer. With any other kind of tokenizer (``known`` is false)
+    each text goes through it as a whole.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -191,14 +210,20 @@ class Encoder(dict):
         self.pieces = Pieces(self.whole.model, most)
         self.most = most
         said = json.loads(self.whole.to_str())
-        split = [x.get("pattern", {}).get("Regex") for x in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.known_splitter = split == [_SPLITTER, None] and said["normalizer"]["normalizers"][-1] == {"type": "Lowercase"}
+        self.known = (
+            said["normalizer"] == _NORMALIZER and said["pre_tokenizer"] == _SPLITTER and not said["truncation"] and not said["padding"]
+            and said["model"]["type"] == "BPE" and not said["model"]["dropout"]
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "\n" in t["content"] or not t["content"].startswith("<|") for t in said["added_tokens"])
+        )
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if self.known_splitter and _PLAIN.fullmatch(word) and "<|" not in word:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
             v = b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
         else:
-            v = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            v = self.ids(word)
         if len(word) <= 100:
             if len(self) >= self.most:
                 self.clear()
@@ -207,6 +232,8 @@ class Encoder(dict):
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null and empty texts have none."""
+        if not self.known:
+            return [self.ids(t) if t else b"" for t in texts]
         get = self.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 

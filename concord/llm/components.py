@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_scratch, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,13 +31,15 @@ def _digest(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(u, v) edges -> (node, root) of every node but the roots, root the least of its component.
 
-    Each round is written to the shared folder; rounds stop when one changes nothing.
+    Each round is written to the shared folder and replaces the last one; rounds
+    stop when one changes nothing.
     """
     now = stored(_small_star(_large_star(edges.select("u", "v").where("u <> v"))), f"{folder}/round-0")
     last, k = _digest(now), 0
     while last[0]:
         k += 1
         now = stored(_small_star(_large_star(now)), f"{folder}/round-{k}")
+        drop_scratch(f"{folder}/round-{k - 1}")
         if (this := _digest(now)) == last:
             break
         last = this

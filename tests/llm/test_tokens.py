@@ -28,12 +28,35 @@ def test_encoder(plain):
         assert [np.frombuffer(x, "<u4").tolist() for x in e(TEXTS)] == [plain(t) for t in TEXTS]
 
 
+def test_other_vocabularies(tmp_path):
+    """Of a tokenizer that keeps the space with the word, each text is encoded as a whole."""
+    from tokenizers import models, pre_tokenizers
+
+    import public_tokenizers
+
+    t = Tokenizer(models.BPE())
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    pairs = [("t", "h"), ("th", "e"), ("Ġ", "c"), ("Ġc", "a"), ("Ġca", "t")]
+    names = sorted({x for p in pairs for x in (*p, "".join(p))} | set("thecasĠ"))
+    t.model = models.BPE(vocab={x: i for i, x in enumerate(names)}, merges=pairs)
+    t.save(str(tmp_path / "t.json"))
+    for path in (str(tmp_path / "t.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        e, whole = Encoder(path), Tokenizer.from_file(path)
+        assert not e.known and Encoder(default_vocabulary()).known
+        for text in ("the cat sat", "  the\n cat ", "the"):
+            assert np.frombuffer(e([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, path
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
 def test_files(spark, docs, plain):
     folder = scratch(spark, "test-files")
+    rolled = write_token_files(docs(TEXTS), folder + "r", default_vocabulary(), shards=2, shard_ids=40)
+    assert rolled.count() > 3
+    one = [tuple(r) for r in read_token_files(spark, folder + "r", rolled).orderBy("doc_id").collect()]
+    assert one == [tuple(r) for r in read_token_files(spark, folder, write_token_files(docs(TEXTS), folder, default_vocabulary())).orderBy("doc_id").collect()]
     shards = write_token_files(docs(TEXTS, ["shard", "ids"]), folder, default_vocabulary(), shards=3)
     got = read_token_files(spark, folder, shards).orderBy("doc_id").collect()
     at = 0
@@ -48,6 +71,16 @@ def test_files(spark, docs, plain):
         assert np.frombuffer(s.find(3), "<u4").tolist() == [*plain(TEXTS[3]), 2] and s.find(10**6) is None
         with pytest.raises(ValueError):
             ShardReader(f, b"other")
+    # Rows without a doc_id come first, in order of text.
+    d = docs(["b", "x y", "a", None]).selectExpr("CASE WHEN doc_id < 3 THEN CAST(NULL AS LONG) ELSE -5 END AS doc_id", "text")
+    for shards in (1, 3):
+        named = write_token_files(d, f"{folder}n{shards}", default_vocabulary(), shards=shards)
+        got = read_token_files(spark, f"{folder}n{shards}", named).orderBy("start").collect()
+        assert [(r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in got] == [*((None, [*plain(t), 2]) for t in ("a", "b", "x y")), (-5, [2])]
+        fs, path = open_fs(named.orderBy(named.shard.desc()).first().path)
+        with fs.open_input_file(path) as f:
+            s = ShardReader(f, fs.open_input_file(open_fs(f"{folder}n{shards}/dictionary")[1]).read())
+            assert np.frombuffer(s.find(-5), "<u4").tolist() == [2] and s.find(0) is None
     empty = write_token_files(docs(["x"]).limit(0), folder + "e", default_vocabulary())
     assert read_token_files(spark, folder + "e", empty).count() == 0
 
