@@ -11,9 +11,10 @@ equal chunks wherever they stand.
 2. Spark groups the digests of all packs: the first place of a digest owns it.
 3. Packs are rewritten with the frames they own, and the first ones removed. A
    repeated task finds the finished pack and only works out the places again.
-4. To read, each task's distinct digests are joined with their places (a digest
-   that stands in every row crosses the join once a task), and the rows are put
-   together from header and chunks; lengths and digests are verified.
+4. To read, the distinct digests of each slice of a task's rows are joined with
+   their places (a digest that stands in every row crosses the join once a
+   slice), and the rows of a slice, of bounded bytes, are put together from
+   header and chunks; lengths and digests are verified.
 
 Only digests and places are shuffled, never the bytes.
 
@@ -43,6 +44,7 @@ BLOCK, RATE = 64, 8000
 MIN, BITS, MAX = 1024, 12, 32 << 10  # 2**BITS is the mean distance of cuts beyond MIN
 LEVEL = 3
 CACHE_BYTES = 16 << 20
+SLICE_BYTES = 32 << 20  # payload of the rows that are put together at a time
 
 CHUNKS = "array<struct<digest:binary,len:int>>"
 PLACES = "array<struct<digest:binary,at:long,size:int>>"
@@ -127,14 +129,14 @@ class Pack:
 
 
 def store(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
-    """Writes packs; gives doc_id, task, n_bytes, header, chunks (in order) and fresh (chunks this row added to the task's pack)."""
+    """Writes packs; gives doc_id, task, slice (of SLICE_BYTES), n_bytes, header, chunks (in order) and fresh (chunks this row added to the task's pack)."""
     spark = docs.sparkSession
     tune_batches(spark)
     chunk_kind = pa.list_(pa.struct([("digest", pa.binary()), ("len", pa.int32())]))
     place_kind = pa.list_(pa.struct([("digest", pa.binary()), ("at", pa.int64()), ("size", pa.int32())]))
 
     def run(frames):
-        task, pack, known = TaskContext.get().partitionId(), None, set()
+        task, pack, known, seen = TaskContext.get().partitionId(), None, set(), 0
         press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
         for b in batches(frames):
             pack = pack or Pack(f"{folder}/first/{task:06d}")
@@ -157,17 +159,19 @@ def store(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
                     start = end
                 chunks.append(mine)
                 fresh.append(new)
+            part = (seen + ends) // SLICE_BYTES
+            seen += int(ends[-1])
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), pa.array(np.full(len(loads), task), pa.int32()), pa.array([len(t or b"") for t in texts], pa.int64()),
+                    b.column(0), pa.array(np.full(len(loads), task), pa.int32()), pa.array(part, pa.int32()), pa.array([len(t or b"") for t in texts], pa.int64()),
                     pa.array([wav_header(len(x)) for x in loads], pa.binary()), pa.array(chunks, chunk_kind), pa.array(fresh, place_kind),
                 ],
-                ["doc_id", "task", "n_bytes", "header", "chunks", "fresh"],
+                ["doc_id", "task", "slice", "n_bytes", "header", "chunks", "fresh"],
             )
         if pack:
             pack.close()
 
-    schema = f"doc_id long, task int, n_bytes long, header binary, chunks {CHUNKS}, fresh {PLACES}"
+    schema = f"doc_id long, task int, slice int, n_bytes long, header binary, chunks {CHUNKS}, fresh {PLACES}"
     return stored(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, schema), f"{folder}/rows")
 
 
@@ -184,14 +188,19 @@ def dedupe(rows: DataFrame, folder: str) -> DataFrame:
         size = t["size"].to_numpy()[order]
         at = t["at"].to_numpy()[order]
         (fs, first), (_, final) = open_fs(f"{folder}/first/{task:06d}"), open_fs(f"{folder}/packs/{task:06d}")
-        if fs.get_file_info(final).type.name == "NotFound":
-            pack = Pack(f"{folder}/packs/{task:06d}")
-            with fs.open_input_file(first) as f:
-                for a, n in zip(at.tolist(), size.tolist(), strict=True):
-                    pack.add(f.read_at(n, a))
-            pack.close()
-        if fs.get_file_info(first).type.name != "NotFound":
+        done = lambda: fs.get_file_info(final).type.name != "NotFound"
+        try:
+            if not done():
+                pack = Pack(f"{folder}/packs/{task:06d}")
+                with fs.open_input_file(first) as f:
+                    for a, n in zip(at.tolist(), size.tolist(), strict=True):
+                        pack.add(f.read_at(n, a))
+                pack.close()
             fs.delete_file(first)
+        except OSError:
+            # Another run of this task has removed the first pack, for the finished one is there.
+            if not done():
+                raise
         return t.take(pa.array(order)).set_column(2, "at", pa.array(np.cumsum(np.append(0, size[:-1])), pa.int64()))
 
     # A column of its own as key: the table that comes in then still has task.
@@ -201,12 +210,12 @@ def dedupe(rows: DataFrame, folder: str) -> DataFrame:
 
 def read(rows: DataFrame, places: DataFrame, folder: str, features: bool = False) -> DataFrame:
     """doc_id, n_bytes and the media (or, with features, what is computed from it), put together from chunks and verified."""
-    wanted = rows.select("task", F.explode("chunks.digest").alias("digest")).distinct()
-    found = wanted.withColumnRenamed("task", "reader").join(places, "digest").select("reader", "digest", "task", "at", "size")
+    wanted = rows.select(F.col("task").alias("reader"), F.col("slice").alias("of"), F.explode("chunks.digest").alias("digest")).distinct()
+    found = wanted.join(places.withColumnRenamed("task", "pack"), "digest").select("reader", "of", "digest", "pack", "at", "size")
     schema = "doc_id long, n_bytes long, " + (FEATURES if features else "media binary")
 
     def run(_key, left, right):
-        where = {d: (t, a, n) for d, t, a, n in zip(*(right[c].to_pylist() for c in ("digest", "task", "at", "size")), strict=True)}
+        where = {d: (t, a, n) for d, t, a, n in zip(*(right[c].to_pylist() for c in ("digest", "pack", "at", "size")), strict=True)}
         files, kept, held = {}, {}, 0
         unpress = zstandard.ZstdDecompressor()
         out = []
@@ -234,14 +243,7 @@ def read(rows: DataFrame, places: DataFrame, folder: str, features: bool = False
             f.close()
         return pa.Table.from_pylist(out, schema=_arrow(schema))
 
-    return rows.groupBy("task").cogroup(found.withColumnRenamed("task", "pack").withColumnRenamed("reader", "task").groupBy("task")).applyInArrow(_renamed(run), schema)
-
-
-def _renamed(run):
-    def renamed(key, left, right):
-        return run(key, left, right.select(["digest", "pack", "at", "size"]).rename_columns(["digest", "task", "at", "size"]))
-
-    return renamed
+    return rows.groupBy("task", "slice").cogroup(found.groupBy("reader", "of")).applyInArrow(run, schema)
 
 
 def _arrow(ddl: str) -> pa.Schema:

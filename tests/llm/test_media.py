@@ -7,6 +7,7 @@ from io import BytesIO
 import numpy as np
 
 from concord.llm.common import open_fs, scratch
+from concord.llm import media
 from concord.llm.media import GEAR, MAX, MIN, chunk_ends, cut_points, dedupe, op9_media, padded, read, rolled, samples, store, wav_header
 
 
@@ -33,10 +34,10 @@ def test_wav():
     for t in (None, b"", b"a", b"x" * 64, b"x" * 65):
         load = padded(t)
         assert len(load) % 64 == 0 and load
-        media = wav_header(len(load)) + load
-        with wave.open(BytesIO(media)) as w:
+        made = wav_header(len(load)) + load
+        with wave.open(BytesIO(made)) as w:
             assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, load)
-        assert samples(media) == load
+        assert samples(made) == load
 
 
 def brute(t):
@@ -46,6 +47,19 @@ def brute(t):
     return (n, len(load), hashlib.sha256(load).hexdigest(), zlib.crc32(load[-64:]))
 
 
+def test_slices(spark, docs, monkeypatch):
+    """Rows are put together in parts of bounded bytes; a second run of a task finds the first one's work."""
+    monkeypatch.setattr(media, "SLICE_BYTES", 1000)
+    texts = [f"{i} " * 200 for i in range(20)]
+    folder = scratch(spark, "t")
+    rows = store(docs(texts).repartition(2), folder)
+    assert rows.select("task", "slice").distinct().count() > 8
+    places = sorted(map(tuple, dedupe(rows, folder).collect()))
+    assert sorted(map(tuple, dedupe(rows, folder).collect())) == places
+    got = {r.doc_id: samples(bytes(r.media)) for r in read(rows, dedupe(rows, folder), folder).collect()}
+    assert got == {i: padded(t.encode()) for i, t in enumerate(texts)}
+
+
 def test_small(spark, docs):
     rng = random.Random(3)
     long = "".join(rng.choice("abcdefgh ") for _ in range(150_000))
