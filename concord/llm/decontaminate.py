@@ -10,7 +10,7 @@ document (length and position bounds), and is then compared word by word.
 
 1. Items are cut into stretches of at most STRETCH windows, which are dealt to
    blocks of about BLOCK_WORDS words; long items have several stretches.
-2. The words of each block are counted in all documents, by hash.
+2. The words of each block are counted in all documents.
 3. Spark brings the stretches and word counts of a block together; its index
    (prefix words, offsets and lengths, windows) is a file in the shared folder.
 4. Documents are read once more. A task takes HELD_BYTES of text at a time
@@ -28,6 +28,7 @@ items or contaminated are replaced; other columns are left alone.
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -68,40 +69,37 @@ def window_keys(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 class Index:
     """The windows of a block.
 
-    names: prefix words (hashes, ascending); groups: for each its ``at`` offsets
+    names: prefix words and their numbers; groups: for each its ``at`` offsets
     and ``size`` lengths, from ptr[i] to ptr[i + 1]; keys: windows' hashes mixed
     with their group, ascending; bytes of window i from text[i] to text[i + 1];
     its items from of[i] to of[i + 1] in item.
     """
 
-    NAMES = ("names", "ptr", "at", "size", "keys", "text", "blob", "of", "item")
+    NAMES = ("ptr", "at", "size", "keys", "text", "of", "item")
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         for n in self.NAMES:
             setattr(self, n, arrays[n])
         self.items = json.loads(arrays["items"].tobytes())
-        self.raw = self.blob.tobytes()
+        self.raw = arrays["blob"].tobytes()
+        self.names = {w: i for i, w in enumerate(arrays["names"].tobytes().split())}
 
     @staticmethod
     def keyed(key: np.ndarray, group: np.ndarray) -> np.ndarray:
         return mixed(key + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     @classmethod
-    def arrays(cls, parts: list[tuple[str, list[bytes]]], count: dict[int, int], window: int) -> dict[str, np.ndarray]:
-        """parts: item and words of each stretch; count: of each word hash in all documents."""
+    def arrays(cls, parts: list[tuple[str, list[bytes]]], count: dict[bytes, int], window: int) -> dict[str, np.ndarray]:
+        """parts: item and words of each stretch; count: of each word in all documents."""
         seen, found = WordHash(), {}
         for item, w in parts:
-            h, size = hashes(w, seen), min(window, len(w))
-            # Rarest first; ties by hash, then by place.
-            distinct, back = np.unique(h, return_inverse=True)
-            order = np.lexsort((distinct, [count.get(x, 0) for x in distinct.view(np.int64).tolist()]))
-            rank = np.empty(len(distinct), np.int64)
-            rank[order] = np.arange(len(distinct))
-            at = np.lib.stride_tricks.sliding_window_view(rank[back], size).argmin(1)
-            start = np.arange(len(at))
-            key = window_keys(h, start, np.full(len(at), size))
-            for i, (o, p, k) in enumerate(zip(at.tolist(), h[start + at].tolist(), key.tolist(), strict=True)):
-                found.setdefault((p, o, size, k, b" ".join(w[i : i + size])), set()).add(item)
+            size = min(window, len(w))
+            # Rarest first; ties by word, then by place.
+            order = {x: i for i, x in enumerate(sorted(set(w), key=lambda x: (count.get(x, 0), x)))}
+            at = np.lib.stride_tricks.sliding_window_view(np.fromiter(map(order.__getitem__, w), np.int64, len(w)), size).argmin(1)
+            key = window_keys(hashes(w, seen), np.arange(len(at)), np.full(len(at), size))
+            for i, (o, k) in enumerate(zip(at.tolist(), key.tolist(), strict=True)):
+                found.setdefault((w[i + o], o, size, k, b" ".join(w[i : i + size])), set()).add(item)
         rows = sorted(found)
         items = sorted({i for x in found.values() for i in x})
         number = {x: i for i, x in enumerate(items)}
@@ -110,21 +108,21 @@ class Index:
         keys = cls.keyed(np.array([r[3] for r in rows], np.uint64), np.array([place[r[:3]] for r in rows], np.int64))
         order = np.argsort(keys, kind="stable")
         rows = [rows[i] for i in order]
-        names, ptr = np.unique(np.array([g[0] for g in groups], np.uint64), return_index=True)
+        ptr = [i for i, g in enumerate(groups) if i == 0 or g[0] != groups[i - 1][0]]
         lists = [sorted(number[i] for i in found[r]) for r in rows]
         sums = lambda n: np.concatenate(([0], np.cumsum(np.array(n, np.int64)))).astype(np.int64)
         return {
-            "names": names, "ptr": np.append(ptr, len(groups)), "at": np.array([g[1] for g in groups], np.int64), "size": np.array([g[2] for g in groups], np.int64), "keys": keys[order],
+            "names": np.frombuffer(b" ".join(groups[i][0] for i in ptr), np.uint8), "ptr": np.array([*ptr, len(groups)], np.int64), "at": np.array([g[1] for g in groups], np.int64), "size": np.array([g[2] for g in groups], np.int64), "keys": keys[order],
             "text": sums([len(r[4]) for r in rows]), "blob": np.frombuffer(b"".join(r[4] for r in rows), np.uint8), "of": sums([len(x) for x in lists]),
             "item": np.array([i for x in lists for i in x], np.int64), "items": np.frombuffer(json.dumps(items).encode(), np.uint8),
         }
 
-    def find(self, h: np.ndarray, flat: list[bytes], first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, str]]:
+    def find(self, flat: list[bytes], first: np.ndarray, last: np.ndarray, seen: WordHash) -> list[tuple[int, int, str]]:
         """(start, end, item) of each window that stands in a document; first and last: of each word's document."""
-        at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-        p = np.flatnonzero(self.names[at] == h)
+        names = self.names
+        p = np.array([i for i, w in enumerate(flat) if w in names], np.int64)
         out: list[tuple[int, int, str]] = []
-        rank = at[p]
+        rank = np.fromiter((names[flat[i]] for i in p.tolist()), np.int64, len(p))
         many = self.ptr[rank + 1] - self.ptr[rank]
         cuts = np.searchsorted(np.cumsum(many), np.arange(CANDIDATES, int(many.sum()), CANDIDATES)) + 1
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)], strict=True):
@@ -134,6 +132,13 @@ class Index:
             start, size = pos - self.at[group], self.size[group]
             ok = (start >= first[pos]) & (start + size <= last[pos])
             start, size, group = start[ok], size[ok], group[ok]
+            # Only the words of candidates are hashed.
+            covered = np.zeros(len(flat) + 1, np.int64)
+            np.add.at(covered, start, 1)
+            np.add.at(covered, start + size, -1)
+            at = np.flatnonzero(np.cumsum(covered)[:-1])
+            h = np.zeros(len(flat), np.uint64)
+            h[at] = hashes([flat[k] for k in at.tolist()], seen)
             key = self.keyed(window_keys(h, start, size), group)
             lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
             for k in np.flatnonzero(hi > lo).tolist():
@@ -163,11 +168,10 @@ def joined(hits: list[tuple[int, int, str]]) -> list[dict]:
 class Words:
     """The words of some texts, one after the other."""
 
-    def __init__(self, texts: list[bytes | None], seen: WordHash):
+    def __init__(self, texts: list[bytes | None]):
         docs = [words(t) for t in texts]
         self.n = np.array([len(d) for d in docs], np.int64)
         self.flat = [w for d in docs for w in d]
-        self.h = hashes(self.flat, seen)
         self.ends = np.cumsum(self.n)
 
 
@@ -199,13 +203,12 @@ def cut_items(items: DataFrame, item_id: str, text: str, window: int) -> DataFra
 
 
 def write_vocabularies(parts: DataFrame, folder: str) -> list[tuple[int, str]]:
-    """A file of the ascending word hashes of each block."""
+    """A file of the words of each block."""
 
     def run(_key, t):
-        seen, block = WordHash(), t["block"][0].as_py()
-        h = np.unique(hashes([w for x in t["words"].to_pylist() for w in x.split()], seen))
+        block = t["block"][0].as_py()
         path = f"{folder}/words-{block:06d}"
-        dump(path, {"hash": h})
+        dump(path, {"words": np.frombuffer(b" ".join(sorted({w for x in t["words"].to_pylist() for w in x.split()})), np.uint8)})
         return pa.Table.from_pylist([{"block": block, "path": path}], pa.schema([("block", pa.int32()), ("path", pa.string())]))
 
     made = stored(parts.groupBy("block").applyInArrow(run, "block int, path string"), f"{folder}/vocabularies")
@@ -213,22 +216,29 @@ def write_vocabularies(parts: DataFrame, folder: str) -> list[tuple[int, str]]:
 
 
 def count_words(docs: DataFrame, text: str, vocabularies: list[tuple[int, str]]) -> DataFrame:
-    """block, hash, n: how often each of a block's words stands in all documents."""
+    """block, word, n: how often each of a block's words stands in all documents."""
 
     def run(frames):
-        seen, kept = WordHash(), {}
+        kept: dict[int, frozenset] = {}
+        n: Counter = Counter()
+
+        def counted(block):
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(n), pa.int32()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["block", "word", "n"])
+
         for group in _held(frames, len(vocabularies)):
-            h = np.concatenate([Words(text_bytes(b.column(0)), seen).h for b in group])
-            distinct, n = np.unique(h, return_counts=True)
+            read = [Words(text_bytes(b.column(0))).flat for b in group]
             for block, path in vocabularies:
                 if block not in kept:
-                    kept.clear()
-                    kept[block] = loaded(path)["hash"]
-                v = kept[block]
-                ours = v[np.minimum(np.searchsorted(v, distinct), len(v) - 1)] == distinct
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(ours.sum()), block), pa.int32()), pa.array(distinct[ours].view(np.int64)), pa.array(n[ours])], ["block", "hash", "n"])
+                    if kept:
+                        yield counted(next(iter(kept)))
+                    n.clear()
+                    kept = {block: frozenset(loaded(path)["words"].tobytes().split())}
+                for flat in read:
+                    n.update(filter(kept[block].__contains__, flat))
+        if kept:
+            yield counted(next(iter(kept)))
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "block int, hash long, n long").groupBy("block", "hash").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "block int, word binary, n long").groupBy("block", "word").agg(F.sum("n").alias("n"))
 
 
 def write_indexes(parts: DataFrame, counts: DataFrame, window: int, folder: str) -> list[str]:
@@ -237,7 +247,7 @@ def write_indexes(parts: DataFrame, counts: DataFrame, window: int, folder: str)
     def run(_key, left, right):
         if not left.num_rows:
             return pa.table({"path": pa.array([], pa.string())})
-        count = dict(zip(right["hash"].to_pylist(), right["n"].to_pylist(), strict=True))
+        count = dict(zip(right["word"].to_pylist(), right["n"].to_pylist(), strict=True))
         path = f"{folder}/index-{left['block'][0].as_py():06d}"
         rows = [(i, w.split()) for i, w in zip(left["item_id"].to_pylist(), left["words"].to_pylist(), strict=True)]
         dump(path, Index.arrays(rows, count, window))
@@ -256,7 +266,7 @@ def with_spans(docs: DataFrame, text: str, paths: list[str]) -> DataFrame:
     def run(frames):
         seen, kept = WordHash(), {}
         for group in _held(frames, len(paths)):
-            read = [Words(text_bytes(b.column(at)), seen) for b in group]
+            read = [Words(text_bytes(b.column(at))) for b in group]
             hits = [[[] for _ in w.n] for w in read]
             for path in paths:
                 if path not in kept:
@@ -264,7 +274,7 @@ def with_spans(docs: DataFrame, text: str, paths: list[str]) -> DataFrame:
                     kept[path] = Index(loaded(path))
                 for w, mine in zip(read, hits, strict=True):
                     first, last = np.repeat(w.ends - w.n, w.n), np.repeat(w.ends, w.n)
-                    for s, e, item in kept[path].find(w.h, w.flat, first, last):
+                    for s, e, item in kept[path].find(w.flat, first, last, seen):
                         base = int(first[s])
                         mine[int(np.searchsorted(w.ends, s, side="right"))].append((s - base, e - base, item))
             for b, w, mine in zip(group, read, hits, strict=True):
