@@ -54,7 +54,7 @@ def test_t_occurrence(monkeypatch):
     rng = random.Random(3)
     for k in range(600):
         monkeypatch.setattr(jaccard, "HEAP", 500 if k % 3 else 0)
-        monkeypatch.setattr(jaccard, "COUNT", 0 if k % 2 else 10**6)
+        monkeypatch.setattr(jaccard, "PROBE", 0.0085 if k % 2 else 0.5)
         lists = [array("i", sorted(rng.sample(range(30), rng.randint(1, 25)))) for _ in range(rng.randint(1, 12))]
         least = rng.randint(1, 12)
         want = {x: n for x in range(30) if (n := sum(x in y for y in lists)) >= least}
