@@ -8,8 +8,7 @@ bits before each 64-bit word finds the i-th set (or unset) bit.
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+from collections.abc import Callable
 
 import numpy as np
 
@@ -166,14 +165,27 @@ def loaded(uri: str) -> dict[str, np.ndarray]:
 
 
 def mapped(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of such a file, memory-mapped; from a remote store by an unlinked copy."""
+    """The arrays of such a file, memory-mapped where the file system allows, else in memory."""
     fs, path = open_fs(uri)
-    if fs.type_name == "local":
-        raw = np.memmap(path, np.uint8, "r")
-    else:
-        with tempfile.NamedTemporaryFile(delete=False) as f, fs.open_input_stream(path) as src:
-            while block := src.read(8 << 20):
-                f.write(block)
-        raw = np.memmap(f.name, np.uint8, "r")
-        os.unlink(f.name)
-    return arrays_of(raw)
+    return arrays_of(np.memmap(path, np.uint8, "r")) if fs.type_name == "local" else loaded(uri)
+
+
+class Opened(dict):
+    """URI -> what ``make`` gives of the file's arrays. Files that cannot be mapped take memory: beyond HELD_BYTES the first opened go."""
+
+    HELD_BYTES = 256 << 20
+
+    def __init__(self, make: Callable[[dict], object]):
+        super().__init__()
+        self.make, self.sizes = make, {}
+
+    def __missing__(self, uri: str):
+        arrays = mapped(uri)
+        if open_fs(uri)[0].type_name != "local":
+            self.sizes[uri] = sum(a.nbytes for a in arrays.values())
+            while len(self.sizes) > 1 and sum(self.sizes.values()) > self.HELD_BYTES:
+                old = next(iter(self.sizes))
+                del self.sizes[old]
+                self.pop(old, None)
+        v = self[uri] = self.make(arrays)
+        return v

@@ -14,9 +14,9 @@ share that goes to level 2.
     p(w | c)    = max(n(c, w) - D, 0) / n(c) + D * children(c) / n(c) * p(w)
     p(w)        = (n(w) + 1) / (N + V + 1)
 
-score is of two levels, trigram_score of three. The first word of a document has
-the end of a document as its only context; an unknown context leaves the
-probability of the level below.
+score is of all three levels, bigram_score of the first two. The first word of a
+document has the end of a document as its only context; an unknown context
+leaves the probability of the level below.
 
 Level 1 is dealt to files by the top bits of the hash. Levels 2 and 3 are dealt
 by where a pair would stand among all pairs if words were independent, known
@@ -28,7 +28,8 @@ as arrays. Nothing but totals and one row for each file reaches the driver.
 
 Defined results: a null text counts as empty and is just its end; with nothing
 to learn from, p is 1 over 1 (an empty model knows no word); repeated rows count
-and are scored each. Input columns named like results are replaced.
+and are scored each; over 3.03e9 distinct words are an error, for a pair of them
+must fit in 63 bits. Input columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import PLAIN, WordHash, batches, extended, hash_bucket, scratch, stored, table, text_bytes, tune_batches
-from .elias_fano import EliasFano, dump, mapped
+from .elias_fano import EliasFano, Opened, dump
 
 DISCOUNT = 0.75
 END = b""  # no word is empty
@@ -131,7 +132,7 @@ class Words:
         for path, file, words, total in model.words:
             self.files[file] = (path, ids, sums, words)
             ids, sums = ids + words, sums + total
-        self.open: dict = {}
+        self.open = Opened(lambda a: (EliasFano.load(a, "hash"), EliasFano.load(a, "sum")))
         self.clear()
 
     def clear(self) -> None:
@@ -146,10 +147,7 @@ class Words:
             if file not in self.files:
                 continue
             path, first, base, _ = self.files[file]
-            if file not in self.open:
-                a = mapped(path)
-                self.open[file] = EliasFano.load(a, "hash"), EliasFano.load(a, "sum")
-            names, sums = self.open[file]
+            names, sums = self.open[path]
             k = np.flatnonzero((top == file) & (hashes >= np.uint64(names.base)))
             k = k[np.argsort(hashes[k])]
             i, found = names.successor(hashes[k] - np.uint64(names.base))
@@ -284,13 +282,10 @@ def write_pairs(triples: DataFrame, model: "Model", folder: str) -> list[tuple]:
 def context_counts(words: Words, ids: np.ndarray) -> np.ndarray:
     """Counts of consecutive ids."""
     out = np.zeros(len(ids), np.int64)
-    for file, (path, first, _, many) in words.files.items():
+    for path, first, _, many in words.files.values():
         k = np.flatnonzero((ids >= first) & (ids < first + many))
         if len(k):
-            if file not in words.open:
-                a = mapped(path)
-                words.open[file] = EliasFano.load(a, "hash"), EliasFano.load(a, "sum")
-            sums = words.open[file][1]
+            sums = words.open[path][1]
             out[k] = sums.access(ids[k] - first + 1) - sums.access(ids[k] - first)
     return out
 
@@ -316,13 +311,11 @@ class Scorer:
     """The trie in a worker."""
 
     def __init__(self, model: Model):
-        self.model, self.words, self.open = model, Words(model), {}
+        self.model, self.words = model, Words(model)
+        self.open = Opened(lambda a: (EliasFano.load(a, "key"), EliasFano.load(a, "pointer"), a["p"], int(a["first"][0]), EliasFano.load(a, "next"), a["next_p"], a["rest"]))
 
     def level(self, file: int) -> tuple:
-        if file not in self.open:
-            a = mapped(self.model.pairs[file])
-            self.open[file] = EliasFano.load(a, "key"), EliasFano.load(a, "pointer"), a["p"], int(a["first"][0]), EliasFano.load(a, "next"), a["next_p"], a["rest"]
-        return self.open[file]
+        return self.open[self.model.pairs[file]]
 
     def pairs(self, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of distinct pairs of known words (rows of words) in ascending order of keys: discounted probability, number of children of the context, file, rank in it (-1: unknown) and, as a context itself, the share that goes to level 2."""
@@ -412,7 +405,7 @@ class Scorer:
             triple[k] += self.triples(file[pair[one]], rank[pair[one]], words.id[w[one]])[back]
         add = lambda x: np.add.reduceat(x, ends - lengths)  # noqa: E731  no document is without tokens
         return {
-            "n_tokens": lengths, "n_known": add((n > 0).astype(np.int64)), "base_score": add(np.log10(unigram)), "score": add(np.log10(prob)), "trigram_score": add(np.log10(triple)),
+            "n_tokens": lengths, "n_known": add((n > 0).astype(np.int64)), "base_score": add(np.log10(unigram)), "bigram_score": add(np.log10(prob)), "score": add(np.log10(triple)),
         }
 
 
@@ -422,17 +415,19 @@ def learn(docs: DataFrame, folder: str, text: str = "text") -> Model:
     docs = docs.select(F.col(text).cast("string").alias("text"))
     words = stored(count_words(docs), f"{folder}/counts")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if distinct * (distinct + 1) >= 2**63:
+        raise ValueError(f"{distinct} distinct words: a pair of their numbers does not fit in 63 bits")
     model = Model(*write_words(words, folder, distinct), total, distinct)
     if total:
         model.add_pairs(write_pairs(count_triples(docs, model), model, folder))
     return model
 
 
-RESULTS = "n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double"
+RESULTS = "n_tokens long, n_known long, train_tokens long, base_score double, bigram_score double, score double"
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with n_tokens, n_known, train_tokens, base_score, score and trigram_score."""
+    """docs with n_tokens, n_known, train_tokens, base_score, bigram_score and score."""
     tune_batches(docs.sparkSession)
     docs, schema = extended(docs, RESULTS)
     at = docs.columns.index(text)
@@ -444,8 +439,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             r = scorer(text_bytes(b.column(at)))
             train = pa.array(np.full(b.num_rows, scorer.model.total), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(r["n_tokens"]), pa.array(r["n_known"]), train, pa.array(r["base_score"]), pa.array(r["score"]), pa.array(r["trigram_score"])],
-                [*b.schema.names, "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score"],
+                [*b.columns, pa.array(r["n_tokens"]), pa.array(r["n_known"]), train, pa.array(r["base_score"]), pa.array(r["bigram_score"]), pa.array(r["score"])],
+                [*b.schema.names, "n_tokens", "n_known", "train_tokens", "base_score", "bigram_score", "score"],
             )
 
     return docs.mapInArrow(run, schema)
@@ -456,4 +451,4 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = hash_bucket("doc_id", 7) == 2
     # A null doc_id has no remainder and is learned from.
     model = learn(docs.where(~F.coalesce(held_out, F.lit(False))), scratch(spark, "language-model"))
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score")
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "bigram_score", "score")
