@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import sqlite3
 from collections.abc import Callable
+from contextlib import closing
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from concord.files import remove
+from concord.sources import tables
 from concord.types import declared
 
 PUBLIC, PRIVATE = "PUBLIC", "PRIVATE"
@@ -28,18 +32,56 @@ class Dataset:
     options: dict = field(default_factory=dict)
 
 
+class JsonStore:
+    """Entries in one JSON file."""
+
+    def __init__(self, path: str):
+        self.path = Path(path)
+
+    def load(self) -> list[dict]:
+        return json.loads(self.path.read_text()) if self.path.exists() else []
+
+    def save(self, entries: list[dict]) -> None:
+        part = self.path.with_suffix(".tmp")
+        part.write_text(json.dumps(entries, indent=1))
+        part.replace(self.path)
+
+
+class KeyValueStore:
+    """Entries by id in a SQLite file."""
+
+    def __init__(self, path: str):
+        self.path = path
+        with closing(sqlite3.connect(path)) as db, db:
+            db.execute("CREATE TABLE IF NOT EXISTS meta (id TEXT PRIMARY KEY, entry TEXT)")
+
+    def load(self) -> list[dict]:
+        with closing(sqlite3.connect(self.path)) as db:
+            return [json.loads(x) for (x,) in db.execute("SELECT entry FROM meta ORDER BY rowid")]
+
+    def save(self, entries: list[dict]) -> None:
+        with closing(sqlite3.connect(self.path)) as db, db:
+            db.execute("DELETE FROM meta")
+            db.executemany("INSERT INTO meta VALUES (?, ?)", [(e["id"], json.dumps(e)) for e in entries])
+
+
+STORES = {"json": JsonStore, "kv": KeyValueStore}
+
+
 class Catalog:
-    """Datasets in memory, with an optional JSON file that is read at start and kept up to date."""
+    """Datasets in memory, with an optional store (a JSON file, or with backend kv a SQLite file) that is read at start and kept up to date."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.entries = spark, path, {}
-        if path and Path(path).exists():
-            for x in json.loads(Path(path).read_text()):
-                self.entries[x["id"]] = Dataset(**x)
+    def __init__(self, spark: SparkSession, path: str | None = None, backend: str = "json"):
+        if backend not in STORES:
+            raise ValueError(f"no such backend: {backend}")
+        self.spark, self.entries = spark, {}
+        self.store = STORES[backend](path) if path else None
+        for x in self.store.load() if self.store else ():
+            self.entries[x["id"]] = Dataset(**x)
 
     def _save(self) -> None:
-        if self.path:
-            Path(self.path).write_text(json.dumps([asdict(e) for e in self.entries.values()], indent=1))
+        if self.store:
+            self.store.save([asdict(e) for e in self.entries.values()])
 
     def register(self, entry: Dataset) -> Dataset:
         if entry.visibility not in (PUBLIC, PRIVATE):
@@ -82,11 +124,23 @@ class Catalog:
         df.createOrReplaceTempView(view)
         return self.register(Dataset(dataset_id, "view", view, **about))
 
-    def drop(self, dataset_id: str) -> None:
-        """Removes the entry and, for a view, the view."""
+    def upload(self, dataset_id: str, df: DataFrame, path: str, **about) -> Dataset:
+        """Writes a frame as Parquet and registers it."""
+        df.write.mode("overwrite").parquet(path)
+        return self.register(Dataset(dataset_id, "parquet", path, **about))
+
+    def download(self, dataset_id: str, path: str, party: str | None = None) -> str:
+        """Writes a dataset as CSV with a header."""
+        tables.write_csv(self.read(dataset_id, party=party), path)
+        return path
+
+    def drop(self, dataset_id: str, data: bool = False) -> None:
+        """Removes the entry and, for a view, the view; with data, the files of a file-based dataset too."""
         e = self.find(dataset_id)
         if e.driver == "view":
             self.spark.catalog.dropTempView(e.source)
+        elif data and e.driver in ("csv", "parquet", "sqlite", "image"):
+            remove(e.source)
         self.unregister(dataset_id)
 
     def load_defaults(self, path: str) -> list[Dataset]:
@@ -111,8 +165,6 @@ class Catalog:
 
 
 def readers() -> dict[str, Callable]:
-    from concord.sources import tables
-
     return {
         "csv": tables.read_csv,
         "parquet": tables.read_parquet,

@@ -55,3 +55,24 @@ def total(columns: Iterable[Column]) -> Column:
 def matrix_product(row: Column, matrix: list[list[float]]) -> Column:
     """A row vector times a matrix that the driver holds."""
     return F.array(*(dot(row, F.array(*(F.lit(float(r[j])) for r in matrix))) for j in range(len(matrix[0]))))
+
+
+def power_of_two_rank(x: Column) -> Column:
+    """How often 1 must be doubled (or halved, negative) to lie above |x| and not above twice it: |x| / 2**rank is in [1/2, 1). 0 has none."""
+    return F.when(x != 0, (F.floor(F.log2(F.abs(x))) + 1).cast("int"))
+
+
+def parts(x: Column, separator: str = "####") -> Column:
+    """A text split at a separator that is taken as it is."""
+    return F.split(x, "\\Q" + separator + "\\E", -1)
+
+
+def json_value(x: Column, name: str, kind: str = "string") -> Column:
+    """A field of a JSON object as a type."""
+    return F.get(F.array(F.from_json(x, f"`{name}` {kind}")), F.lit(0))[name]
+
+
+def histogram_bucket(x: Column, low: float, high: float, bins: int) -> Column:
+    """Number (from 0) of the equal step between low and high that a value lies in; high belongs to the last one, values beyond have none."""
+    at = F.width_bucket(x, F.lit(float(low)), F.lit(float(high)), F.lit(bins)).cast("int") - 1
+    return F.when(x == high, bins - 1).when((x >= low) & (x < high), at)

@@ -72,15 +72,29 @@ def impute(df: DataFrame, columns: dict[str, str], how: str = "MAX", places: int
     return out.withColumns(value).select(df.columns)
 
 
-def impute_parties(parties: dict[str, DataFrame], columns: dict[str, str], how: str = "MAX") -> dict[str, DataFrame]:
+def impute_parties(parties: dict[str, DataFrame], columns: dict[str, str], how: str = "MAX", places: int | None = None) -> dict[str, DataFrame]:
     """The same over parties of one schema: the replacement is taken from all, each gets its own rows back."""
     from concord.operators.stats import PARTY, union
 
     same_schema(list(parties.values()))
-    whole = impute(union(parties), columns, how)
+    whole = impute(union(parties), columns, how, places)
     return {p: whole.where(F.col(PARTY) == p).drop(PARTY) for p in parties}
 
 
+def load_texts(spark, path: str, columns: dict[str, str]) -> DataFrame:
+    """A CSV file with all columns as text; in columns, texts that stand for a missing value are NULL, and empty lines are rows."""
+    df = spark.read.csv(path, header=True, inferSchema=False)
+    return df.withColumns({c: F.when(~is_missing(c), F.col(c)) for c in columns})
+
+
+def abnormal_table(df: DataFrame, columns: dict[str, str], places: int = 6) -> DataFrame:
+    """A database table's repair: abnormal texts become the mean (integers: rounded down), doubles are rounded, missing values of text columns are the text NA."""
+    out = repair_mixed(df, columns)
+    texts = [f.name for f in out.schema if f.name not in columns and f.dataType.typeName() == "string"]
+    fixed = {c: F.round(c, places) for c, k in columns.items() if k == "double"} | {c: F.when(is_missing(c), "NA").otherwise(F.col(c)) for c in texts}
+    return out.withColumns(fixed) if fixed else out
+
+
 def repair_mixed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Abnormal texts become the column's mean (integers: rounded down); a sum of 0 leaves them missing."""
     filled = df.agg(*(_mean(c, k).alias(f"_fill_{c}") for c, k in columns.items()))

@@ -33,3 +33,25 @@ def with_keys(df: DataFrame, keys: list[str], masked: bool = False) -> tuple[Dat
     check_keys(df, keys)
     names = [f"{PREFIX}{i}" for i in range(len(keys))]
     return df.withColumns({n: key_value(k, masked) for n, k in zip(names, keys, strict=True)}), names
+
+
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def keyed_pair(left: DataFrame, left_keys: list[str], right: DataFrame, right_keys: list[str], masked: bool = False, keep: bool = False) -> tuple[DataFrame, DataFrame, list[str], Column]:
+    """The left frame with key columns, the right one's key columns (with keep: all its columns), their names on the left, and the condition under which keys are equal.
+
+    Integers on both sides are compared as integers (a missing one equals a
+    missing one), anything else as text, where a missing key is the empty one.
+    """
+    check_keys(left, left_keys)
+    check_keys(right, right_keys)
+    a, b, names, equal = {}, {}, [], F.lit(True)
+    for i, (x, y) in enumerate(zip(left_keys, right_keys, strict=True)):
+        whole = not masked and isinstance(left.schema[x].dataType, WHOLE) and isinstance(right.schema[y].dataType, WHOLE)
+        a[f"{PREFIX}{i}"] = F.col(x).cast("long") if whole else key_value(x, masked)
+        b[f"_right{i}"] = F.col(y).cast("long") if whole else key_value(y, masked)
+        names.append(f"{PREFIX}{i}")
+        same = F.col(f"{PREFIX}{i}").eqNullSafe(F.col(f"_right{i}")) if whole else F.col(f"{PREFIX}{i}") == F.col(f"_right{i}")
+        equal = same if i == 0 else equal & same
+    return left.withColumns(a), right.withColumns(b) if keep else right.select(*(v.alias(n) for n, v in b.items())), names, equal

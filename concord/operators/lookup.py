@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.operators.keys import with_keys
+from concord.files import numbered
+from concord.operators.keys import PREFIX, keyed_pair, with_keys
 from concord.types import require_columns
 
 
@@ -26,25 +27,34 @@ def keyword_lookup(queries: DataFrame, server: DataFrame, keys: list[str] | None
     keys = list(dict.fromkeys(keys or server.columns[:1]))
     if len(queries.columns) != len(keys):
         raise ValueError("the queries need as many columns as the server has keys")
-    labels = labels or server.columns
+    labels = labels or [c for c in server.columns if not c.startswith(PREFIX)]
     require_columns(server, labels)
-    asked, names = with_keys(queries, queries.columns)
-    rows, _ = with_keys(server, keys)
-    return rows.join(asked.select(names).distinct(), names, "left_semi").select(*labels)
+    offline = [f"{PREFIX}{i}" for i in range(len(keys))]
+    if set(offline) <= set(server.columns):
+        # A table by build_lookup_table has its keys at hand, and is dealt by them.
+        asked, _ = with_keys(queries, queries.columns)
+        return server.join(asked.select(offline).distinct(), offline, "left_semi").select(*labels)
+    rows, asked, _, equal = keyed_pair(server, keys, queries, queries.columns)
+    return rows.join(asked, equal, "left_semi").select(*labels)
 
 
-def build_lookup_table(server: DataFrame, key: str, table: str, buckets: int = 64) -> None:
-    """The server's offline part: a bucketed table, so that later lookups do not shuffle it."""
-    server.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def build_lookup_table(server: DataFrame, keys: str | list[str], table: str, buckets: int = 64, rebuild: bool = False) -> DataFrame:
+    """The server's offline part: a table bucketed and sorted by the text of its keys, so that lookups do not shuffle it.
+
+    A table of that name that is there already is used as it is, unless rebuild.
+    """
+    spark = server.sparkSession
+    if rebuild or not spark.catalog.tableExists(table):
+        rows, names = with_keys(server, [keys] if isinstance(keys, str) else keys)
+        rows.write.mode("overwrite").bucketBy(buckets, *names).sortBy(*names).saveAsTable(table)
+    return spark.table(table)
 
 
 def row_lookup(server: DataFrame, order: list[str], places: list[int]) -> DataFrame:
-    """Rows by place (from 0) in a given order; only rows up to the last place asked for are numbered."""
+    """Rows by place (from 0) in a given order; places come from counts by ranges, so no task sees all rows."""
     if not places or min(places) < 0:
         raise ValueError("places from 0 are needed")
-    first = server.orderBy(*order).limit(max(places) + 1)
-    numbered = first.withColumn("row_index", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    return numbered.where(F.col("row_index").isin(places))
+    return numbered(server, order).where(F.col("row_index").isin(places))
 
 
 def align(table: DataFrame, keys: list[str], result: DataFrame, result_keys: list[str], position: str) -> DataFrame:
@@ -57,6 +67,11 @@ def align(table: DataFrame, keys: list[str], result: DataFrame, result_keys: lis
     return asked.select(position, *names).join(one, names).select(F.col(position).alias("position"), "_row.*")
 
 
+def sorted_by_last(rows: DataFrame) -> DataFrame:
+    """Rows of a batch in the order of their last column."""
+    return rows.orderBy(rows.columns[-1])
+
+
 def check_aligned(aligned: DataFrame, result: DataFrame) -> None:
     got, want = aligned.count(), result.count()
     if got != want:

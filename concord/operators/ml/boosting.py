@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.files import remove, scratch, stored
 from concord.functions.scalar import sigmoid
 from concord.types import present, require_columns
 
@@ -54,8 +55,12 @@ class Boosted:
         return cls(**json.loads(text))
 
 
-def cut_points(df: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
-    """Quantiles of each feature, distinct, but for the largest."""
+def cut_points(df: DataFrame, features: list[str], bins: int, uniform: bool = False) -> dict[str, list[float]]:
+    """Quantiles of each feature, distinct, but for the largest; uniform: equal steps from least to largest."""
+    if uniform:
+        row = df.agg(*(f(present(c)).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+        ends = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(features)}
+        return {c: [lo + (hi - lo) * k / bins for k in range(1, bins)] if lo is not None and hi > lo else [] for c, (lo, hi) in ends.items()}
     row = df.agg(*(F.percentile_approx(present(c), [i / bins for i in range(1, bins)], 10_000).alias(c) for c in features), *(F.max(present(c)).alias(f"_max_{c}") for c in features)).first()
     return {c: [v for v in sorted(set(row[c] or [])) if v < row[f"_max_{c}"]] for c in features}
 
@@ -68,9 +73,13 @@ def gain(gl: float, hl: float, g: float, h: float, l2: float, gamma: float) -> f
 
 def train(
     df: DataFrame, features: list[str], label: str, objective: str = "logistic", trees: int = 5, depth: int = 3, rate: float = 0.3, l2: float = 1.0, gamma: float = 0.0,
-    bins: int = 32, min_child_weight: float = 1.0, min_child_sample: int = 1, column_share: float = 1.0, row_share: float = 1.0, goss: tuple[float, float] | None = None, seed: int = 0,
+    bins: int = 32, min_child_weight: float = 1.0, min_child_sample: int = 1, column_share: float = 1.0, row_share: float = 1.0, goss: tuple[float, float] | None = None, seed: int = 0, uniform: bool = False, written: int = 8,
 ) -> Boosted:
-    """goss: (top, other): rows with the largest gradients by share, and a share of the others, whose g and h are scaled up alike."""
+    """goss: (top, other): rows with the largest gradients by share, and a share of the others, whose g and h are scaled up alike.
+
+    Rows keep their margin; each tree adds to it, and after every ``written``
+    trees rows are written to the shared folder, so plans stay short.
+    """
     if objective not in OBJECTIVES:
         raise ValueError(f"no such objective: {objective}")
     if not label:
@@ -79,16 +88,18 @@ def train(
     import random
 
     rng = random.Random(seed)
-    cuts = cut_points(df, features, bins)
-    bucket = {c: reduce(lambda a, b: a + b, [F.when(present(c) > v, 1).otherwise(0) for v in cuts[c]], F.lit(0)) for c in features}
+    cuts = cut_points(df, features, bins, uniform)
+    bucket = bucketed(df, cuts)
     rows = df.select(F.col(label).cast("double").alias("_y"), *(present(c).alias(c) for c in features), *(b.cast("short").alias(f"_b_{c}") for c, b in bucket.items())).where("_y IS NOT NULL").persist()
     mean = rows.agg(F.avg("_y")).first()[0] or 0.0
     base = mean if objective == "linear" else 0.0
     model = Boosted(objective, features, base, rate)
+    folder = scratch(df.sparkSession, "boosting") if trees > written else ""
+    rows, kept = rows.withColumn("_m", F.lit(float(base))), rows
     try:
         for t in range(trees):
             chosen = features if column_share >= 1 else rng.sample(features, max(1, round(column_share * len(features))))
-            m = model.margin()
+            m = F.col("_m")
             g, h = (m - F.col("_y"), F.lit(1.0)) if objective == "linear" else (sigmoid(m) - F.col("_y"), sigmoid(m) * (1 - sigmoid(m)))
             now = rows.withColumns({"_g": g, "_h": h, "_w": F.lit(1.0)})
             if row_share < 1:
@@ -99,20 +110,35 @@ def train(
                 keep = F.abs("_g") >= limit
                 now = now.where(keep | (F.rand(seed + t) < other / (1 - top))).withColumn("_w", F.when(keep, 1.0).otherwise((1 - top) / other))
             model.trees.append(_grow(now, chosen, cuts, depth, l2, gamma, min_child_weight, min_child_sample))
+            rows = rows.withColumn("_m", F.col("_m") + rate * model.tree(model.trees[-1]))
+            if (t + 1) % written == 0 and t + 1 < trees:
+                rows = stored(rows, f"{folder}/{t}")
+                remove(f"{folder}/{t - written}")
     finally:
-        rows.unpersist()
+        kept.unpersist()
     return model
 
 
+def gradient_sums(rows: DataFrame, features: list[str], g: str = "g", h: str = "h", node: str = "node") -> DataFrame:
+    """node, feature (its place), bucket, g, h and n: sums by node and bucket of all features in one aggregate. Bucket columns are _b_<feature>."""
+    stacked = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"_b_{c}").alias("b")) for i, c in enumerate(features))))
+    sums = rows.select(F.col(node).alias("node"), F.col(g).alias("g"), F.col(h).alias("h"), stacked.alias("x"))
+    return sums.groupBy("node", F.col("x.f").alias("f"), F.col("x.b").alias("b")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
+
+
+def bucketed(df: DataFrame, cuts: dict[str, list[float]]) -> dict[str, Column]:
+    """Bucket of each feature: how many of its cut points lie below it."""
+    return {c: reduce(lambda a, b: a + b, [F.when(present(c) > v, 1).otherwise(0) for v in cuts[c]], F.lit(0)) for c in cuts}
+
+
 def _grow(rows: DataFrame, features: list[str], cuts: dict, depth: int, l2: float, gamma: float, least_weight: float, least_rows: int) -> list[dict]:
     nodes: list[dict] = [{}]
     open_nodes = [0]
     for level in range(depth + 1):
         at = _route(nodes)
-        stacked = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"_b_{c}").alias("b")) for i, c in enumerate(features))))
         w = F.col("_w")
-        sums = rows.select(at.alias("node"), (F.col("_g") * w).alias("g"), (F.col("_h") * w).alias("h"), stacked.alias("x")).where(F.col("node").isin(open_nodes))
-        got = sums.groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect()  # nodes x features x buckets
+        here = rows.withColumns({"node": at, "g": F.col("_g") * w, "h": F.col("_h") * w}).where(F.col("node").isin(open_nodes))
+        got = gradient_sums(here, features).collect()  # nodes x features x buckets
         cells: dict = {}
         for r in got:
             cells.setdefault(r.node, {}).setdefault(r.f, []).append((r.b, r.g, r.h, r.n))

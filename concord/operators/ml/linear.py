@@ -1,9 +1,8 @@
 """Linear and logistic models by gradient descent, over all rows, by party, or privately.
 
 One step over all rows is one aggregate: each partition adds up its gradient and
-Spark combines them. Federated averaging runs a party's epochs over its own
-batches in one task a party and batch stream; the weights of parties are
-averaged by their examples.
+Spark combines them. In federated averaging a step of all parties is one aggregate by party,
+and the weights of parties are averaged by their examples.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ import json
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +19,13 @@ from concord.operators.stats import PARTY
 from concord.types import require_columns
 
 
+#: What a step takes for the prediction. taylor is the sigmoid's tangent at 0, which needs no more than sums and products.
+LINKS = {"linear": lambda z: z, "logistic": sigmoid, "piecewise": piecewise_sigmoid, "taylor": lambda z: 0.5 + z / 4}
+
+
 @dataclass
 class LinearModel:
-    """kind linear, logistic or piecewise (logistic with a piecewise linear sigmoid); weights end with the bias; classes over 2: a row of weights each."""
+    """kind linear, logistic, piecewise or taylor (logistic with a simpler link in its steps); weights end with the bias; classes over 2: a row of weights each."""
 
     kind: str
     features: list[str]
@@ -45,7 +47,7 @@ class LinearModel:
             e = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
             total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
             return df.withColumn(f"{name}_all", F.transform(e, lambda v: v / total)).withColumn(name, (F.array_position(F.col(f"{name}_all"), F.array_max(f"{name}_all")) - 1).cast("int"))
-        link = {"linear": lambda z: z, "logistic": sigmoid, "piecewise": piecewise_sigmoid}[self.kind]
+        link = sigmoid if self.kind == "taylor" else LINKS[self.kind]
         return df.withColumn(name, link(self.margin()))
 
     def to_json(self) -> str:
@@ -61,7 +63,7 @@ def _gradient(model: LinearModel, label: str, clip: float | None) -> list[Column
     y = F.col(label).cast("double")
     x = [F.col(c).cast("double") for c in model.features] + [F.lit(1.0)]
     z = model.margin()
-    link = {"linear": z, "logistic": sigmoid(z), "piecewise": piecewise_sigmoid(z)}[model.kind]
+    link = LINKS[model.kind](z)
     err = link - y
     if clip is not None:
         length = F.sqrt(sum((v * v for v in x[1:]), x[0] * x[0])) * F.abs(err)
@@ -76,7 +78,7 @@ def fit(
 ) -> LinearModel:
     """Gradient descent from zero weights; batch: share of rows for a step. With clip and noise: a private fit whose epsilon (at delta) is kept."""
     require_columns(df, [*features, label])
-    if kind not in ("linear", "logistic", "piecewise"):
+    if kind not in LINKS:
         raise ValueError(f"no such model: {kind}")
     view = df.select(*features, label).persist()
     model = LinearModel(kind, features, [0.0] * (len(features) + 1))
@@ -137,47 +139,38 @@ def private_epsilon(share: float, noise: float, steps: int, delta: float) -> flo
     return best
 
 
-def fedavg(df: DataFrame, features: list[str], label: str, kind: str = "linear", rounds: int = 5, local_epochs: int = 1, rate: float = 0.1, l2: float = 0.0, batch_size: int = 256, weighted: bool = True) -> LinearModel:
-    """Rounds of local mini-batch epochs by party (column _party), then the mean of the parties' weights (by examples, or unweighted).
+def fedavg(
+    df: DataFrame, features: list[str], label: str, kind: str = "linear", rounds: int = 5, local_epochs: int = 1, rate: float = 0.1, l2: float = 0.0, batches: int = 1,
+    weighted: bool = True,
+) -> LinearModel:
+    """Rounds of local epochs by party (column _party), then the mean of the parties' weights, by examples or unweighted.
 
-    A party's rows are read as a stream of Arrow batches in each task; tasks of one
-    party are averaged by examples as parties are, so a large party is not
-    brought to one task.
+    An epoch takes a party's rows in ``batches`` steps; the step of a row comes
+    from a hash of it. Each step is one aggregate over all parties at once, so
+    the result depends on the data alone, and a large party is spread over tasks.
     """
     require_columns(df, [*features, label, PARTY])
-    weights = [0.0] * (len(features) + 1)
-    view = df.select(PARTY, *(F.col(c).cast("double") for c in features), F.col(label).cast("double").alias("_y")).persist()
-    schema = f"{PARTY} string, n long, w array<double>"
-
-    def local(start: list[float]):
-        def run(frames):
-            state: dict = {}
-            for frame in frames:
-                for party, part in frame.groupby(PARTY, sort=True):
-                    w, n = state.get(party, (np.array(start), 0))
-                    x, y = np.column_stack((part[features].to_numpy(float), np.ones(len(part)))), part["_y"].to_numpy(float)
-                    for _ in range(local_epochs):
-                        for i in range(0, len(x), batch_size):
-                            a, b = x[i : i + batch_size], y[i : i + batch_size]
-                            z = a @ w
-                            err = (z if kind == "linear" else 1 / (1 + np.exp(-z))) - b
-                            w = w - rate * (a.T @ err / len(a) + l2 * np.append(w[:-1], 0.0))
-                    state[party] = (w, n + len(x))
-            yield pd.DataFrame([(p, n, w.tolist()) for p, (w, n) in state.items()], columns=[PARTY, "n", "w"])
-
-        return run
-
+    model = LinearModel(kind, features, [0.0] * (len(features) + 1))
+    view = df.select(PARTY, *(F.col(c).cast("double").alias(c) for c in features), F.col(label).cast("double").alias("_y"))
+    view = view.withColumn("_step", F.pmod(F.xxhash64(*features, "_y"), F.lit(batches))).persist()
+    names = [f"_w{i}" for i in range(len(features) + 1)]
     try:
+        sizes = {r[0]: r.n for r in view.groupBy(PARTY).agg(F.count("*").alias("n")).collect()}  # a row a party
         for _ in range(rounds):
-            tasks = view.mapInPandas(local(weights), schema)
-            total = [F.sum(F.get("w", F.lit(i)) * F.col("n")) / F.sum("n") for i in range(len(weights))]
-            parties = tasks.groupBy(PARTY).agg(F.sum("n").alias("n"), F.array(*total).alias("w"))
-            share = F.col("n") if weighted else F.lit(1)
-            row = parties.agg(*((F.sum(F.get("w", F.lit(i)) * share) / F.sum(share)).alias(str(i)) for i in range(len(weights)))).first()
-            weights = list(row)
+            own = {p: list(model.weights) for p in sizes}
+            for step in range(local_epochs * batches):
+                held = df.sparkSession.createDataFrame([(p, *map(float, w)) for p, w in own.items()], f"{PARTY} string, " + ", ".join(f"{n} double" for n in names))
+                rows = view.where(F.col("_step") == step % batches).join(F.broadcast(held), PARTY)  # a row a party
+                x = [*(F.col(c) for c in features), F.lit(1.0)]
+                z = sum((F.col(n) * v for n, v in zip(names[:-1], x, strict=False)), F.col(names[-1]))
+                err = LINKS[kind](z) - F.col("_y")
+                for r in rows.groupBy(PARTY).agg(*(F.avg(err * v).alias(f"g{i}") for i, v in enumerate(x))).collect():
+                    own[r[PARTY]] = [w - rate * (r[f"g{i}"] + (l2 * w if i < len(features) else 0.0)) for i, w in enumerate(own[r[PARTY]])]
+            share = {p: n if weighted else 1 for p, n in sizes.items()}
+            model.weights = [sum(own[p][i] * share[p] for p in own) / sum(share.values()) for i in range(len(names))] if own else model.weights
     finally:
         view.unpersist()
-    return LinearModel(kind, features, weights)
+    return model
 
 
 def fit_vertical(parties: list[DataFrame], key: str, features: list[str], label: str, **options) -> LinearModel:
@@ -185,12 +178,3 @@ def fit_vertical(parties: list[DataFrame], key: str, features: list[str], label:
     from concord.functions.expression import joined
 
     return fit(joined(parties, key), features, label, **options)
-
-
-def fit_mlp(df: DataFrame, features: list[str], label: str, hidden: list[int], classes: int, epochs: int = 50, seed: int = 0):
-    """A multilayer perceptron, by Spark's own trainer."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
-    return MultilayerPerceptronClassifier(layers=[len(features), *hidden, classes], featuresCol="_x", labelCol=label, maxIter=epochs, seed=seed).fit(rows)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.files import before, ranged, scratch
+
 
 def regression(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """One row: ev, maxe, mae, mse, rmse, msle, medae, mape, r2."""
@@ -45,26 +49,36 @@ def multiclass(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return each.agg(ratio(F.sum(tp), F.sum(of)).alias("acc"), F.avg(ratio(tp, s)).alias("precision"), F.avg(ratio(tp, of)).alias("recall"), F.avg(ratio(2 * tp, s + of)).alias("f1"))
 
 
-def roc(df: DataFrame, y: str = "y", p: str = "p", bins: int | None = None) -> DataFrame:
-    """threshold, fpr, tpr, of every score or, with bins, of rounded scores.
+def _counted(df: DataFrame, y: str, p: str, bins: int | None) -> DataFrame:
+    """A row for each distinct score, with pos, neg, tp and fp (those from that score up) and the totals P and N.
 
-    Running counts go over one row a distinct score. Those are ranked in one
-    order, so give bins where scores are all but distinct.
+    Scores are sorted by ranges; sums over the ranges above are added to running
+    sums within a range, so no task sees all scores.
     """
     s = F.col(p).cast("double") if bins is None else F.floor(F.col(p) * bins) / bins
     by = df.groupBy(s.alias("threshold")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    run = by.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp")).crossJoin(F.broadcast(total))  # one row is joined
-    return run.select("threshold", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
+    rows = before(ranged(by, [F.desc("threshold")], scratch(df.sparkSession, "roc")), {"pos": F.sum("pos"), "neg": F.sum("neg")})
+    own = Window.partitionBy("_part").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0)
+    total = rows.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    run = rows.select("threshold", "pos", "neg", (F.sum("pos").over(own) + F.col("_before_pos")).alias("tp"), (F.sum("neg").over(own) + F.col("_before_neg")).alias("fp"))
+    return run.crossJoin(F.broadcast(total))  # one row is joined
+
+
+def roc(df: DataFrame, y: str = "y", p: str = "p", bins: int | None = None) -> DataFrame:
+    """threshold, fpr, tpr, of every score or, with bins, of rounded scores."""
+    return _counted(df, y, p, bins).select("threshold", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
 
 
 def auc(df: DataFrame, y: str = "y", p: str = "p", bins: int | None = None) -> DataFrame:
-    """One row, auc: trapezoids under the curve, ties counted half."""
-    c = roc(df, y, p, bins)
-    w = Window.orderBy(F.desc("threshold"))
-    x0, y0 = F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    return c.select(((F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).alias("a")).agg(F.sum("a").alias("auc"))
+    """One row, auc: the share of pairs of a positive and a negative that are in order, ties counted half."""
+    won = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
+    return _counted(df, y, p, bins).agg(F.try_divide(won, F.max("P") * F.max("N")).alias("auc"))
+
+
+def auc_ovr(df: DataFrame, y: str, p: str, classes: list) -> DataFrame:
+    """One row, auc: the mean over classes of the auc of one class against all others; p: an array of a probability for each class."""
+    each = [auc(df.select((F.col(y) == c).cast("int").alias("y"), F.get(p, F.lit(i)).alias("p"))) for i, c in enumerate(classes)]
+    return reduce(lambda a, b: a.unionByName(b), each).agg(F.avg("auc").alias("auc"))
 
 
 def ks(df: DataFrame, y: str = "y", p: str = "p", bins: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.preprocess.base import Module, aggregates, category, mapped, replaced
+from concord.operators.stats import exact_quantiles
 from concord.types import is_numeric, present
 
 
@@ -40,7 +41,7 @@ class KBinsDiscretizer(Module):
             a = aggregates(df, self.columns, {"min": F.min, "max": F.max})
             edges = {c: [a["min"][c] + (a["max"][c] - a["min"][c]) * i / n for i in range(n + 1)] for c in self.columns}
         else:
-            edges = aggregates(df, self.columns, {"q": lambda x: F.percentile(x, [i / n for i in range(n + 1)])})["q"]
+            edges = exact_quantiles(df, self.columns, [i / n for i in range(n + 1)])
             edges = {c: [e[0]] + [b for a, b in zip(e, e[1:], strict=False) if b - a > 1e-8] for c, e in edges.items()}
         return {"inner": {c: e[1:-1] if e[-1] > e[0] else [] for c, e in edges.items()}, "edges": {c: e if e[-1] > e[0] else ["-inf", "inf"] for c, e in edges.items()}}
 

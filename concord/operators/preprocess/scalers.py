@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from concord.operators.preprocess.base import EPS, Module, aggregates, nonzero, replaced
 from concord.operators.stats import row_norm_value
+from concord.operators.stats import exact_quantiles
 from concord.types import present
 
 
@@ -69,7 +70,7 @@ class RobustScaler(Module):
         low, high = self.params.get("quantile_range", (25.0, 75.0))
         if not 0 <= low <= high <= 100:
             raise ValueError("quantile_range lies in [0, 100] and rises")
-        got = aggregates(df, self.columns, {"q": lambda x: F.percentile(x, [low / 100, 0.5, high / 100])})["q"]
+        got = exact_quantiles(df, self.columns, [low / 100, 0.5, high / 100])
         unit = NormalDist().inv_cdf(high / 100) - NormalDist().inv_cdf(low / 100) if self.params.get("unit_variance") else 1.0
         return {"center": {c: q[1] if q else 0.0 for c, q in got.items()}, "scale": {c: nonzero(q[2] - q[0] if q else None, EPS) / unit for c, q in got.items()}}
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.preprocess.base import Module, aggregates, nonzero, replaced
+from concord.operators.stats import exact_quantiles
 from concord.types import present
 
 GOLDEN = (3 - sqrt(5)) / 2
@@ -125,7 +126,7 @@ class QuantileTransformer(Module):
                 raise ValueError("n_quantiles is more than subsample")
             df = df.orderBy(F.rand(self.params.get("seed", 0))).limit(int(share))
         refs = np.linspace(0, 1, n).tolist()
-        return {"refs": refs, "values": aggregates(df, self.columns, {"q": lambda x: F.percentile(x, refs)})["q"]}
+        return {"refs": refs, "values": exact_quantiles(df, self.columns, refs)}
 
     def transform(self, df: DataFrame) -> DataFrame:
         refs, normal = np.array(self.state["refs"]), self.params.get("output_distribution") == "normal"
@@ -177,7 +178,7 @@ class SplineTransformer(Module):
         if isinstance(how, dict):
             base = how
         elif how == "quantile":
-            base = aggregates(df, self.columns, {"q": lambda x: F.percentile(x, np.linspace(0, 1, n).tolist())})["q"]
+            base = exact_quantiles(df, self.columns, np.linspace(0, 1, n).tolist())
         else:
             a = aggregates(df, self.columns, {"min": F.min, "max": F.max})
             base = {c: np.linspace(a["min"][c], a["max"][c], n).tolist() for c in self.columns}

@@ -7,7 +7,7 @@ from enum import IntEnum
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.operators.keys import with_keys
+from concord.operators.keys import keyed_pair
 
 
 class Protocol(IntEnum):
@@ -31,13 +31,13 @@ def _join(client: DataFrame, server: DataFrame, keys: list[str], server_keys: li
         raise ValueError("both parties need as many key columns")
     p = protocol(p)
     masked = p is Protocol.TEE
-    left, names = with_keys(client, keys, masked)
-    right, _ = with_keys(server, server_keys, masked)
+    left, right, names, equal = keyed_pair(client, keys, server, server_keys, masked)
     if p is Protocol.KKRT and (client.isEmpty() or server.isEmpty()):
         raise ValueError("KKRT does not take an empty set")
     if unique:
         left = left.dropDuplicates(names)
-    return left.join(right.select(names).distinct(), names, how).drop(*names)
+    # A semi join needs no distinct right side, and only keys are shuffled.
+    return left.join(right, equal, how).drop(*names)
 
 
 def intersection(client: DataFrame, server: DataFrame, keys: list[str], server_keys: list[str] | None = None, protocol: Protocol | int | str = Protocol.ECDH, unique: bool = False) -> DataFrame:
@@ -71,5 +71,6 @@ def align_samples(host: DataFrame, guest: DataFrame, key: str) -> tuple[DataFram
 
 
 def aligned_join(host: DataFrame, guest: DataFrame, key: str) -> DataFrame:
-    """Vertical parties side by side on the shared key."""
-    return host.join(guest, key)
+    """Vertical parties side by side on the shared key; as in align_samples, a missing key equals a missing one."""
+    left, right, names, equal = keyed_pair(host, [key], guest, [key], keep=True)
+    return left.join(right.drop(key), equal).drop(*names, "_right0")

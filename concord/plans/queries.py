@@ -181,9 +181,9 @@ def _expression(name: str, text: str, sql: str | None = None):
 
 
 for _name, _text, _sql in (
-    ("add", "A+B", None), ("sub", "A-B-2", None), ("mul", "A*B", None), ("div", "A/B", "A / B"), ("recip", "1/B", "1.0::DOUBLE / B"), ("mixed", "A*B-C+A+2.2", "A*B-C+A+2.2::DOUBLE"),
-    ("paren", "(5.3-(A*B-C+A+2.2))*2.0", "(5.3::DOUBLE-(A*B-C+A+2.2::DOUBLE))*2.0::DOUBLE"), ("neg", "-100/A", "-100::DOUBLE/A"), ("int", "B*C-(B-7)*2", None),
-    ("half", "(5-(A*B-C+A+2-1)*2)/2", "(5-(A*B-C+A+2-1)*2)/2::DOUBLE"),
+    ("add", "A+B", None), ("sub", "A-C-9", None), ("mul", "A*C", None), ("div", "A/B", "A / B"), ("recip", "8/C", "8.0::DOUBLE / C"), ("mixed", "C*A+B-3.75", "C*A+B-3.75::DOUBLE"),
+    ("paren", "(7.5-(B*C+A-1.25))*4.0", "(7.5::DOUBLE-(B*C+A-1.25::DOUBLE))*4.0::DOUBLE"), ("neg", "-64/A", "-64::DOUBLE/A"), ("int", "B*C-(B-7)*2", None),
+    ("half", "(A-(B*C-A+3-2)*3)/4", "(A-(B*C-A+3-2)*3)/4::DOUBLE"),
 ):
     _expression(_name, _text, _sql)
 

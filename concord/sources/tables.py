@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import sqlite3
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concord.files import numbered, opened
 from concord.types import sql_type
 
 PREVIEW = 100
@@ -25,7 +27,8 @@ def infer_csv(spark: SparkSession, path: str, sep: str = ",", lines: int = PREVI
     head = [r.value for r in spark.read.text(path).limit(lines + 1).collect()]
     if not head:
         return T.StructType([])
-    names = [clean_name(x) for x in head[0].lstrip(BOM).split(sep)]
+    # The separator may stand inside a quoted name.
+    names = [clean_name(x) for x in next(csv.reader([head[0].lstrip(BOM)], delimiter=sep), [])]
     sample = spark.createDataFrame([(x,) for x in head[1:]] or [("",)], "value string")
     kinds = spark.read.csv(sample.rdd.map(lambda r: r.value), sep=sep, inferSchema=True).schema.fields if head[1:] else []
     kinds = [f.dataType for f in kinds] + [T.StringType()] * (len(names) - len(kinds))
@@ -101,10 +104,10 @@ def read_images(spark: SparkSession, path: str, schema: T.StructType | None = No
 
 
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """Rows offset to offset + limit in an order that must be given."""
+    """Rows offset to offset + limit in an order that must be given; rows before them are counted by ranges, not brought to one task."""
     if not order:
         raise ValueError("a page needs an order")
-    return df.orderBy(*order).offset(offset).limit(limit)
+    return numbered(df, order, "_row").where((F.col("_row") >= offset) & (F.col("_row") < offset + limit)).drop("_row")
 
 
 def preview(df: DataFrame, n: int = PREVIEW) -> DataFrame:
@@ -125,11 +128,36 @@ def mini_batches(df: DataFrame, batches: int, seed: int = 0) -> list[DataFrame]:
     return df.randomSplit([1.0] * batches, seed)
 
 
-def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
+def step_batch(df: DataFrame, step: int, batches: int, seed: int = 0) -> DataFrame:
+    """The rows of one step: an epoch has ``batches`` steps, each row is in one of them, and each epoch deals the rows anew.
+
+    A row's step comes from a hash of the row, so it does not depend on how rows are partitioned.
+    """
+    epoch, at = divmod(step, batches)
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), *(F.col(f"`{c}`") for c in df.columns)), F.lit(batches)) == at)
+
+
+def write_csv(df: DataFrame, path: str, one_file: bool = False, bom: bool = False) -> None:
+    """A folder of CSV parts with headers; with bom each header starts with a byte-order mark and its names are not quoted."""
+    df = df.coalesce(1) if one_file else df
+    if not bom:
+        df.write.mode("overwrite").csv(path, header=True)
+        return
+    # The header line is written as it is, before the rows of its part.
+    names = df.columns
+    marked = df.select(*(F.col(f"`{c}`").alias((BOM if i == 0 else "") + c) for i, c in enumerate(names)))
+    marked.write.mode("overwrite").csv(path, header=True, quoteAll=False)
 
 
 def write_json(values: dict, path: str) -> None:
     """A small result or model of the driver."""
-    with open(path, "w") as f:
-        json.dump(values, f, indent=1)
+    fs, at = opened(path)
+    fs.create_dir(at.rpartition("/")[0] or ".", recursive=True)
+    with fs.open_output_stream(at) as f:
+        f.write(json.dumps(values, indent=1, default=str).encode())
+
+
+def read_json(path: str) -> dict:
+    fs, at = opened(path)
+    with fs.open_input_stream(at) as f:
+        return json.loads(f.read())

@@ -35,7 +35,7 @@ def test_linear(data):
     private = linear.fit(df, ["a", "b"], "y", epochs=5, clip=1.0, noise=2.0, batch=0.5)
     assert 0 < private.epsilon < linear.private_epsilon(1.0, 2.0, 5, 1e-5)
     parties = stats.union(stats.split_parties(df, "id", 2))
-    assert linear.fedavg(parties, ["a", "b"], "y", rounds=15, local_epochs=4, rate=0.2, batch_size=20).weights == pytest.approx([2, -1, 0.5], abs=0.05)
+    assert linear.fedavg(parties, ["a", "b"], "y", rounds=15, local_epochs=4, rate=0.2, batches=2).weights == pytest.approx([2, -1, 0.5], abs=0.05)
     soft = linear.fit_softmax(df.withColumn("k", F.when(F.col("a") < -0.5, 0).when(F.col("a") < 0.5, 1).otherwise(2)), ["a", "b"], "k", 3, epochs=15, rate=2.0)
     assert len(soft.weights) == 3
     host, guest = df.select("id", "a", "y"), df.select("id", "b")
