@@ -24,7 +24,7 @@ TASKS = ("regression", "binary", "multiclass")
 def first_weights(sizes: list[int], seed: int) -> list[float]:
     """Uniform within 1 / sqrt(inputs), layer by layer: a layer's matrix by rows, then its biases."""
     rng = np.random.default_rng(seed)
-    return [v for a, b in zip(sizes, sizes[1:], strict=False) for v in rng.uniform(-1, 1, (a + 1) * b) / np.sqrt(a)]
+    return [float(v) for a, b in zip(sizes, sizes[1:], strict=False) for v in rng.uniform(-1, 1, (a + 1) * b) / np.sqrt(a)]
 
 
 def layers(weights: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -109,7 +109,7 @@ def fit_mlp(
     sizes = [len(features), *hidden, classes if task == "multiclass" else 1]
     party = F.col(PARTY).cast("string") if PARTY in df.columns else F.lit("")
     view = df.select(party.alias("party"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)), F.col(label).cast("double").alias("y")).persist()
-    model = Mlp(list(features), sizes, task, [float(v) for v in first_weights(sizes, seed)])
+    model = Mlp(list(features), sizes, task, first_weights(sizes, seed))
 
     def step(own: dict[str, np.ndarray]) -> None:
         def run(frames):

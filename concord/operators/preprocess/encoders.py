@@ -239,13 +239,15 @@ class TargetEncoder(Module):
             out[c] = F.when(value.isNull(), F.lit(missing).cast("double")).otherwise(mapped(value, s["values"], F.lit(s["mean"]).cast("double")))
         return replaced(df, out)
 
-    def fit_transform(self, df: DataFrame, key: str | None = None, folds: int = 5) -> DataFrame:
+    def fit_transform(self, df: DataFrame, key: str | None = None, folds: int = 5, fold: Column | None = None) -> DataFrame:
+        """fold: the number of a row's fold, if not by the hash of the key."""
         self.fit(df)
         if key is None:
             return self.transform(df)
-        out = df.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+        of = F.pmod(F.xxhash64(key), F.lit(folds)) if fold is None else fold
+        out = df.withColumn("_fold", of)
         for i, c in enumerate(self.columns):
-            sums = self._sums(df, c, F.pmod(F.xxhash64(key), F.lit(folds)))
+            sums = self._sums(df, c, of)
             own = sums.select(F.col("v").alias(f"_v{i}"), F.col("fold").alias("_fold"), *(F.col(x).alias(f"_f{x}") for x in "nsq"))
             each = sums.groupBy(F.col("v").alias(f"_v{i}")).agg(*(F.sum(x).alias(f"_c{x}") for x in "nsq"))
             by_fold = sums.groupBy(F.col("fold").alias("_fold")).agg(*(F.sum(x).alias(f"_o{x}") for x in "nsq"))

@@ -257,16 +257,6 @@ def col_quantile_exact(spark, sf):
     return rounded(stats.col_quantile(missing(spark, sf), COLS, QS), 4)
 
 
-@query()
-def col_quantile_kll(spark, sf):
-    return stats.col_quantile(missing(spark, sf), COLS, QS, sketch="KLL")
-
-
-@query()
-def col_quantile_req(spark, sf):
-    return stats.col_quantile(missing(spark, sf), COLS, QS, sketch="REQ")
-
-
 _TOP = """SELECT * FROM (SELECT 'event_type' AS "column", event_type AS item, count(*) AS "count" FROM events GROUP BY 2 HAVING count(*) >= 2 ORDER BY 3 DESC, 2 LIMIT 3)
     UNION ALL SELECT * FROM (SELECT 'user_id', CAST(user_id AS VARCHAR), count(*) FROM events GROUP BY user_id HAVING count(*) >= 2 ORDER BY 3 DESC, user_id LIMIT 3)"""
 
@@ -276,11 +266,6 @@ def col_frequent(spark, sf):
     return stats.col_frequent(t(spark, sf, "events"), ["event_type", "user_id"], 3, 2)
 
 
-@query()
-def col_frequent_sketch(spark, sf):
-    return stats.col_frequent_approximate(t(spark, sf, "events"), "event_type", 3)
-
-
 @query("SELECT DISTINCT 'event_type' AS \"column\", event_type AS item FROM events UNION ALL SELECT DISTINCT 'user_id', CAST(user_id AS VARCHAR) FROM events")
 def col_union(spark, sf):
     return stats.col_union(t(spark, sf, "events"), ["event_type", "user_id"])
@@ -423,26 +408,6 @@ _module(
 )
 
 
-@query()
-def target_encoder_cross(spark, sf):
-    return rounded(encoders.TargetEncoder([SEG], "b").fit_transform(customers(spark, sf), key="c_custkey").select("c_custkey", SEG))
-
-
-@query()
-def power_transformer(spark, sf):
-    return rounded(transformers.PowerTransformer(["b"]).fit_transform(customers(spark, sf)).select("c_custkey", "b"), 3)
-
-
-@query()
-def quantile_transformer(spark, sf):
-    return rounded(transformers.QuantileTransformer(["b"], n_quantiles=100).fit_transform(customers(spark, sf)).select("c_custkey", "b"))
-
-
-@query()
-def spline_transformer(spark, sf):
-    return rounded(transformers.SplineTransformer(["b"], n_knots=4).fit_transform(customers(spark, sf)).drop("c_nationkey", "c_mktsegment"))
-
-
 # Metrics and models.
 
 SCORED = "SELECT l.quality AS y, (d.doc_id * 37 % 101) / 100.0::DOUBLE AS p FROM labels l JOIN documents d USING (doc_id)"
@@ -505,46 +470,6 @@ def linear_regression(spark, sf):
     return rounded(spark.createDataFrame(list(zip(["q", "bias"], m.weights, strict=True)), "feature string, weight double"), 3)
 
 
-@query()
-def logistic_regression(spark, sf):
-    m = linear.fit(priced(spark, sf), ["q", "d"], "big", "logistic", epochs=10, rate=2.0)
-    return metrics.classification(m.predict(priced(spark, sf)), "big", "p")
-
-
-@query()
-def logistic_piecewise(spark, sf):
-    m = linear.fit(priced(spark, sf), ["q", "d"], "big", "piecewise", epochs=10, rate=1.0)
-    return metrics.classification(m.predict(priced(spark, sf)), "big", "p")
-
-
-@query()
-def federated_average(spark, sf):
-    parties = stats.split_parties(priced(spark, sf), "l_orderkey", 3)
-    m = linear.fedavg(stats.union(parties), ["q", "d"], "y", rounds=3)
-    return rounded(spark.createDataFrame(list(zip(["q", "d", "bias"], m.weights, strict=True)), "feature string, weight double"))
-
-
-@query()
-def private_linear(spark, sf):
-    m = linear.fit(priced(spark, sf), ["q"], "y", epochs=5, clip=1.0, noise=1.0)
-    return spark.createDataFrame([(m.epsilon, len(m.weights))], "epsilon double, weights int")
-
-
-@query()
-def boosted_trees(spark, sf):
-    m = boosting.train(priced(spark, sf), ["q", "d"], "big", trees=2, depth=2)
-    return metrics.classification(m.predict(priced(spark, sf)), "big", "p")
-
-
-@query()
-def vertical_logistic(spark, sf):
-    o = t(spark, sf, "orders")
-    host = o.select("o_orderkey", (F.col("o_totalprice") / 100000).alias("x"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    guest = o.select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("double").alias("z"))
-    m = linear.fit_vertical([host, guest], "o_orderkey", ["x", "z"], "y", kind="logistic", epochs=5)
-    return rounded(spark.createDataFrame(list(zip(["x", "z", "bias"], m.weights, strict=True)), "feature string, weight double"))
-
-
 @query("""SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS "rows", round(sum(value), 9) AS value_sum, round(avg(value), 9) AS value_mean,
     min(value) AS value_min, max(value) AS value_max, round(var_pop(value), 6) AS value_var FROM events GROUP BY ALL""")
 def windowed_statistics(spark, sf):

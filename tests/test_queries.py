@@ -19,7 +19,7 @@ def duck(small):
 
 def plain(df):
     def text(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return None
         return f"{v:.6g}" if isinstance(v, float) else str(pd.Timestamp(v)) if isinstance(v, pd.Timestamp) else str(v)
 
