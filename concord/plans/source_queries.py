@@ -267,12 +267,12 @@ def catalog_transfer(spark, sf):
     return tables.read_csv(spark, down, t(spark, sf, "region").schema).withColumn("gone", F.lit(gone))
 
 
-@query("SELECT 'l_tax' AS \"column\", round(avg(l_tax), 6) AS mean FROM lineitem")
+@query("SELECT 'l_tax' AS \"column\", round(avg(l_tax), 4) AS mean FROM lineitem")
 def json_sink(spark, sf):
     """Statistics written as JSON and read again."""
     path = f"{there(spark, 'json')}/stats.json"
     stats.StatsPipeline({"mean": {"columns": ["l_tax"]}}).run(stats.split_parties(t(spark, sf, "lineitem").select("l_orderkey", "l_tax"), "l_orderkey", 2), path=path)
-    return rounded(said(spark, [(r["column"], r["mean"]) for r in tables.read_json(path)["mean"]], "column string, mean double"))
+    return rounded(said(spark, [(r["column"], r["mean"]) for r in tables.read_json(path)["mean"]], "column string, mean double"), 4)
 
 
 # Expressions, keys, lookups.
@@ -434,7 +434,7 @@ def declared_schema(spark, sf):
 # Joint statistics as tasks.
 
 
-@query("SELECT round(avg(l_discount), 6) AS l_discount, round(avg(l_quantity), 6) AS l_quantity FROM lineitem")
+@query("SELECT round(avg(l_discount), 4) AS l_discount, round(avg(l_quantity), 4) AS l_quantity FROM lineitem")
 def mpc_task_document(spark, sf):
     """TaskDetail and ColumnInfo as written: the result is registered and written for each dataset."""
     c, li = Catalog(spark), t(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount")
@@ -446,7 +446,7 @@ def mpc_task_document(spark, sf):
     r = task.Runner(spark, c)
     job = r.submit({"task_type": "ACTOR_TASK", "algorithm": "mpc_statistics", "parties": {f"P{i}": f"party{i}" for i in range(3)}, "params": {"TaskDetail": {"type": "OBJECT", "value": detail}, "ColumnInfo": {"type": "OBJECT", "value": about}}})
     assert r.fetch_status(job) is task.Status.SUCCESS
-    return rounded(c.read("new2"))
+    return rounded(c.read("new2"), 4)
 
 
 @query("SELECT * FROM (VALUES ('text column', false), ('no such statistic', false), ('numbers', true)) x(document, accepted)")
@@ -462,13 +462,13 @@ def mpc_no_columns(spark, sf):
     return said(spark, [(len(stats.joint(t(spark, sf, "lineitem"), "SUM", []).columns),)], "columns_of_result int")
 
 
-@query("SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in LI) + " FROM lineitem")
+@query("SELECT " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in LI) + " FROM lineitem")
 def joint_of_parts(spark, sf):
     """From each party's own sums and counts."""
     parties = stats.split_parties(t(spark, sf, "lineitem").select("l_orderkey", *LI), "l_orderkey", 3)
     parts = [df.agg(*(F.sum(c) for c in LI), F.count("*")).first() for df in parties.values()]
     mean = stats.joint_of_parts("AVG", [list(p)[:-1] for p in parts], [[p[-1]] * len(LI) for p in parts])
-    return rounded(said(spark, [tuple(mean)], ", ".join(f"{c} double" for c in LI)))
+    return rounded(said(spark, [tuple(mean)], ", ".join(f"{c} double" for c in LI)), 4)
 
 
 @query("SELECT * FROM (VALUES ('col', 'var', true), ('row', 'var', false), ('row', 'norm', true), ('col', 'mode', false), ('diagonal', 'sum', false), ('col', 'quantile', true)) x(axis, name, known)")
@@ -483,13 +483,13 @@ def quantile_range(spark, sf):
     return said(spark, [(q, not refused(lambda q=q: stats.col_quantile(d, ["p_size"], [q], "KLL"))) for q in (-0.1, 0.0, 1.0, 1.5)], "q double, accepted boolean")
 
 
-@query("SELECT 'l_discount' AS \"column\", round(avg(l_discount), 6) AS mean, round(var_pop(l_discount), 6) AS var FROM lineitem UNION ALL SELECT 'l_tax', round(avg(l_tax), 6), round(var_pop(l_tax), 6) FROM lineitem")
+@query("SELECT 'l_discount' AS \"column\", round(avg(l_discount), 4) AS mean, round(var_pop(l_discount), 4) AS var FROM lineitem UNION ALL SELECT 'l_tax', round(avg(l_tax), 4), round(var_pop(l_tax), 4) FROM lineitem")
 def stats_pipeline(spark, sf):
     """Horizontal: the columns that all parties have."""
     parties = stats.split_parties(t(spark, sf, "lineitem").select("l_orderkey", "l_discount", "l_tax", "l_quantity"), "l_orderkey", 3)
     parties["party1"] = parties["party1"].drop("l_quantity")
     f = stats.StatsPipeline({"mean": {}, "var": {}}).frames(parties)
-    return rounded(f["mean"].join(f["var"], "column").where("column <> 'l_orderkey'"))
+    return rounded(f["mean"].join(f["var"], "column").where("column <> 'l_orderkey'"), 4)
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE WHEN p_size > 5 THEN -p_size::DOUBLE END AS s, p_retailprice AS r FROM part)
