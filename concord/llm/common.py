@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -152,6 +153,128 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class ByteWords:
+    """64-bit hashes of the words of a column of texts, without a Python object for each word.
+
+    A word of bytes c hashes to the sum of LETTER[c[i]] * BASE**i, which is the
+    difference of two running sums over the text, divided by a power of BASE
+    (BASE is odd, so it has an inverse modulo 2**64), mixed with its length.
+    Texts are taken in stretches of PART bytes, whatever the length of a word.
+    """
+
+    PART = 1 << 18
+    BASE = 0x9E6C63D0876A9A63  # odd
+
+    def __init__(self, table: bytes):
+        """table: what each byte becomes; white space (as bytes.split has it) ends a word."""
+        self.table = np.frombuffer(table, np.uint8)
+        self.letter = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[self.table]
+        self.inside = ~np.isin(self.table, [0x20, 9, 10, 11, 12, 13])
+        self.letter[~self.inside] = 0
+        n = self.PART + 1
+        self.power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, self.BASE, np.uint64))))
+        self.inverse = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64))))
+
+    @staticmethod
+    def finished(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mixed(h ^ (size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+
+    def of(self, data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of bytes, in order, and where each begins. breaks: ascending places at which a text begins, which end a word before them."""
+        hashes, places = [], []
+        held, held_size, held_at = np.uint64(0), 0, 0  # a word that goes on in the next stretch
+        for lo in range(0, len(data), self.PART):
+            part = data[lo : lo + self.PART]
+            # With clip, numpy takes straight into the result.
+            inside = np.take(self.inside, part, mode="clip")
+            first = inside.copy()
+            first[1:] &= ~inside[:-1]
+            cut = breaks[np.searchsorted(breaks, lo) : np.searchsorted(breaks, lo + len(part))] - lo
+            first[cut] = inside[cut]
+            going = bool(held_size) and inside[0] and not (len(cut) and cut[0] == 0)
+            if held_size and not going:
+                hashes.append(self.finished(np.array([held]), np.array([held_size])))
+                places.append(np.array([held_at]))
+                held_size = 0
+            if going:
+                first[0] = True
+            start = np.flatnonzero(first)
+            if not len(start):
+                continue
+            # A word ends before the next byte that is outside, or at which another begins.
+            final = inside.copy()
+            final[:-1] &= ~inside[1:] | first[1:]
+            end = np.flatnonzero(final) + 1
+            sums = np.empty(len(part) + 1, np.uint64)
+            sums[0] = 0
+            np.take(self.letter, part, out=sums[1:], mode="clip")
+            sums[1:] *= self.power[: len(part)]
+            np.cumsum(sums[1:], out=sums[1:])
+            h, size = (sums[end] - sums[start]) * self.inverse[start], end - start
+            place = start + lo
+            if going:
+                h[:1] = held + h[:1] * np.uint64(pow(self.BASE, held_size, 1 << 64))
+                size[0] += held_size
+                place[0] = held_at
+            held_size = 0
+            if end[-1] == len(part):
+                held, held_size, held_at = h[-1], int(size[-1]), int(place[-1])
+                h, size, place = h[:-1], size[:-1], place[:-1]
+            hashes.append(self.finished(h, size))
+            places.append(place)
+        if held_size:
+            hashes.append(self.finished(np.array([held]), np.array([held_size])))
+            places.append(np.array([held_at]))
+        return (np.concatenate(hashes), np.concatenate(places)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all rows, one row after the other, and how many each row has; a null has none."""
+        column = pc.fill_null(column, "").cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(len(column) + 1, np.int64)
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, np.uint8)
+        starts = offsets - offsets[0]
+        h, at = self.of(raw, np.unique(starts[:-1][starts[:-1] < len(raw)]))
+        return h, np.diff(np.searchsorted(at, starts))
+
+    def word(self, word: bytes) -> int:
+        """The hash of one word, or of no bytes at all."""
+        if not word:
+            return int(self.finished(np.zeros(1, np.uint64), np.zeros(1, np.int64))[0])
+        return int(self.of(np.frombuffer(word, np.uint8), np.zeros(1, np.int64))[0][0])
+
+
+def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in an order in which most equal ones follow each other, and where a new value starts there.
+
+    Of few bits of the value and the place one number is made, whose sort is much
+    faster than one that keeps track of places. Values that agree in those bits
+    only may stand between equal ones, which then start more than once.
+    """
+    bits = max(1, int(len(h) - 1).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    order = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+    v = h[order]
+    return order, np.concatenate((np.ones(min(1, len(v)), bool), v[1:] != v[:-1]))
+
+
+def ascending(k: np.ndarray) -> np.ndarray:
+    """Places of int64 values >= 0 in ascending order."""
+    if not len(k):
+        return np.empty(0, np.int64)
+    bits, wide = max(1, int(len(k) - 1).bit_length()), int(k.max()).bit_length()
+    cut = max(0, wide + bits - 63)
+    key = (k >> cut << bits) | np.arange(len(k))
+    key.sort()
+    order = key & ((1 << bits) - 1)
+    if cut:
+        v = k[order]
+        if (v[1:] < v[:-1]).any():
+            # Nearly sorted: merging runs is fast.
+            order = order[np.argsort(v, kind="stable")]
+    return order
+
+
 #: Stretches of plain characters only: visible ASCII and Latin-1 letters, which NFC leaves alone.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]{1,100}")
 #: What the vocabulary's own splitter makes of such a stretch, once lower-cased.

@@ -1,6 +1,6 @@
 """N-gram language model in an Elias-Fano trie, learned and queried over all documents.
 
-Level 1 holds the words: their sorted 64-bit hashes and the running sum of their
+Level 1 holds the words: their sorted 64-bit hashes (ByteWords) and the running sum of their
 counts, both monotone and Elias-Fano coded; a word's rank is its id. Level 2
 holds the pairs that occur: for each context the monotone pointers to its
 children, and the children as ascending context * V + word, with the quantised
@@ -36,15 +36,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN, WordHash, batches, extended, hash_bucket, scratch, stored, table, text_bytes, tune_batches
+from .common import PLAIN, ByteWords, ascending, batches, extended, grouped, hash_bucket, scratch, stored, table, tune_batches
 from .elias_fano import EliasFano, Opened, dump
 
 DISCOUNT = 0.75
-END = b""  # no word is empty
+END = np.uint64(ByteWords(PLAIN).word(b""))  # no word is empty
 FLUSH = 4_000_000  # tokens that a task adds up at a time
 FILE = 3_000_000  # words, or tokens of pairs, for each file
 PIECE = 200_000  # triples in a row of the shuffle
@@ -53,10 +52,6 @@ WORDS_KEPT = 400_000
 POWERS = 10.0 ** (-STEP * np.arange(65536))
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return text.translate(PLAIN).split() if text else []
-
-
 def counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and how often each stands there."""
     k = np.sort(np.concatenate(keys))
@@ -71,16 +66,13 @@ def _pieces(rows: list, names: list[str], size: int = 200_000):
 
 def count_words(docs: DataFrame) -> DataFrame:
     """hash and n of each word, the end among them."""
-    end = np.uint64(xxhash.xxh3_64_intdigest(END))
 
     def run(frames):
-        seen, kept, many = WordHash(), [], 0
+        read, kept, many = ByteWords(PLAIN), [], 0
         for b in batches(frames):
-            for t in text_bytes(b.column(0)):
-                w = tokens(t)
-                kept.append(np.fromiter(map(seen.__getitem__, w), np.uint64, len(w)))
-                kept.append(np.array([end]))
-                many += len(w) + 1
+            h, _ = read(b.column(0))
+            kept += [h, np.full(b.num_rows, END)]
+            many += len(h) + b.num_rows
             if many >= FLUSH:
                 yield from _pieces([x.view(np.int64) for x in counted(kept)], ["hash", "n"])
                 kept, many = [], 0
@@ -124,7 +116,7 @@ def write_words(words: DataFrame, folder: str, total: int) -> list[tuple[str, in
 
 
 class Words:
-    """Level 1 in a worker: word -> row of arrays id, n (count) and before (sum of the counts of lower ids)."""
+    """Level 1 in a worker: hash of a word -> row of arrays id, n (count) and before (sum of the counts of lower ids)."""
 
     def __init__(self, model: "Model"):
         self.bits, self.files = model.bits, {}
@@ -136,7 +128,7 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
+        self.known, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes in order, and their rows
         self.id, self.n, self.before = (np.empty(0, np.int64) for _ in range(3))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,16 +148,28 @@ class Words:
             ids[k], before[k], n[k] = first + i, base + low, sums.access(i + 1) - low
         return ids, n, before
 
-    def rows(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        """Row numbers of the words of each document."""
-        if len(self.row) > WORDS_KEPT:
+    def rows(self, h: np.ndarray) -> np.ndarray:
+        """Row numbers of words; those of an earlier call may be gone once there are over WORDS_KEPT."""
+        if len(self.id) > WORDS_KEPT:
             self.clear()
-        new = list({w for d in docs for w in d}.difference(self.row))
-        if new:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-            self.row.update(zip(new, range(len(self.id), len(self.id) + len(new)), strict=True))
-            self.id, self.n, self.before = (np.concatenate(x) for x in zip((self.id, self.n, self.before), self.find(h), strict=True))
-        return [np.fromiter(map(self.row.__getitem__, d), np.int64, len(d)) for d in docs]
+        order, new = grouped(h)
+        distinct = h[order[new]]
+        row = np.full(len(distinct), -1)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+            hit = self.known[at] == distinct
+            row[hit] = self.at[at[hit]]
+        missing = np.flatnonzero(row < 0)
+        if len(missing):
+            u = np.unique(distinct[missing])
+            first = len(self.id)
+            row[missing] = first + np.searchsorted(u, distinct[missing])
+            self.id, self.n, self.before = (np.concatenate(x) for x in zip((self.id, self.n, self.before), self.find(u), strict=True))
+            at = np.searchsorted(self.known, u)
+            self.known, self.at = np.insert(self.known, at, u), np.insert(self.at, at, np.arange(first, len(self.id)))
+        out = np.empty(len(h), np.int64)
+        out[order] = row[np.cumsum(new) - 1]
+        return out
 
 
 def file_of(c: np.ndarray, c_n: np.ndarray, w: np.ndarray, total: int, files: int) -> np.ndarray:
@@ -173,19 +177,29 @@ def file_of(c: np.ndarray, c_n: np.ndarray, w: np.ndarray, total: int, files: in
     return np.minimum((c + c_n * (w / total)) * (files / total), files - 1).astype(np.int64)
 
 
-def framed(docs: list[list[bytes]]) -> list[list[bytes]]:
-    """Each document between two ends; the first is only a context."""
-    return [[END, *d, END] for d in docs]
-
-
-def counted_triples(pair: np.ndarray, after: np.ndarray, n: np.ndarray | None, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (pair, word after it) in order, and the sum of n (or how often each stands there)."""
-    # One number for both if it fits in 63 bits.
-    order = np.argsort(pair * (distinct + 1) + after) if distinct * distinct * (distinct + 1) < 2**63 else np.lexsort((after, pair))
+def framed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of documents, n of each, between two ends a document (the first is only a context); where each begins, and the place after it."""
+    stop = np.cumsum(n + 2)
+    start = stop - n - 2
+    out = np.full(int(stop[-1]), END)
+    word = np.ones(len(out), bool)
+    word[start] = word[stop - 1] = False
+    out[word] = h
+    return out, start, stop
+
+
+def counted_triples(pair: np.ndarray, after: np.ndarray, n: np.ndarray | None, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (pair, word after it) in order, the sum of n (or how often each stands there), and a place of each."""
+    order = ascending(pair)
+    p = pair[order]
+    # The pair's rank and the word fit in one number.
+    rank = np.cumsum(p[1:] != p[:-1])
+    key = np.concatenate((np.zeros(min(1, len(p)), np.int64), rank)) * (distinct + 1) + after[order]
+    order = order[ascending(key)]
     pair, after = pair[order], after[order]
     starts = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (after[1:] != after[:-1]))))
     n = np.diff(np.append(starts, len(pair))) if n is None else np.add.reduceat(n[order], starts)
-    return pair[starts], after[starts], n
+    return pair[starts], after[starts], n, order[starts]
 
 
 def count_triples(docs: DataFrame, model: "Model") -> DataFrame:
@@ -194,17 +208,12 @@ def count_triples(docs: DataFrame, model: "Model") -> DataFrame:
 
     def run(frames):
         m = held.value
-        words, kept, many = Words(m), [], 0
+        words, read, kept, many = Words(m), ByteWords(PLAIN), [], 0
 
         def flush():
-            pair, after, n = counted_triples(*map(np.concatenate, zip(*kept, strict=True)), None, m.distinct)
-            new = np.concatenate(([True], pair[1:] != pair[:-1]))
-            c, w = np.divmod(pair[new], m.distinct)
-            # Sums by id, from the rows at hand.
-            order = np.argsort(words.id)
-            at = lambda ids: order[np.searchsorted(words.id, ids, sorter=order)]
-            c, w = at(c), at(w)
-            file = file_of(words.before[c], words.n[c], words.before[w], m.total, m.files)[np.cumsum(new) - 1]
+            pair, after, file = map(np.concatenate, zip(*kept, strict=True))
+            pair, after, n, at = counted_triples(pair, after, None, m.distinct)
+            file = file[at]
             cuts = [0, *(np.flatnonzero(file[1:] != file[:-1]) + 1).tolist(), len(file)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 for i in range(lo, hi, PIECE):
@@ -214,21 +223,20 @@ def count_triples(docs: DataFrame, model: "Model") -> DataFrame:
                     yield pa.RecordBatch.from_pylist([row], pa.schema([("file", pa.int32()), ("pair", pa.binary()), ("after", pa.binary()), ("n", pa.binary())]))
 
         for b in batches(frames):
-            docs = framed([tokens(t) for t in text_bytes(b.column(0))])
-            if kept and (many >= FLUSH or len(words.row) > WORDS_KEPT):
+            if kept and many >= FLUSH:
                 yield from flush()
                 kept, many = [], 0
-            rows = words.rows(docs)
-            ids = words.id[np.concatenate(rows)]
-            ends = np.cumsum([len(r) for r in rows]) - 1
+            h, _, stop = framed(*read(b.column(0)))
+            row = words.rows(h)
+            ids = words.id[row]
             after = np.append(ids[2:], m.distinct)
-            after[ends - 1] = m.distinct
+            after[stop - 2] = m.distinct
             # No pair goes over from a document to the next.
             inside = np.ones(len(ids), bool)
-            inside[ends] = False
-            inside = inside[:-1]
-            kept.append(((ids[:-1] * m.distinct + ids[1:])[inside], after[inside]))
-            many += len(ids) - len(rows)
+            inside[stop - 1] = False
+            c, w = row[:-1][inside[:-1]], row[1:][inside[:-1]]
+            kept.append((words.id[c] * m.distinct + words.id[w], after[inside[:-1]], file_of(words.before[c], words.n[c], words.before[w], m.total, m.files)))
+            many += len(c)
         if kept:
             yield from flush()
 
@@ -254,7 +262,7 @@ def write_pairs(triples: DataFrame, model: "Model", folder: str) -> list[tuple]:
                 pair, after, n = (np.frombuffer(r[x], np.int64) for x in ("pair", "after", "n"))
                 rows.setdefault(r["file"], []).append((np.cumsum(pair), after, n))
         for file in sorted(rows):
-            pair, after, n = counted_triples(*map(np.concatenate, zip(*rows.pop(file), strict=True)), m.distinct)
+            pair, after, n, _ = counted_triples(*map(np.concatenate, zip(*rows.pop(file), strict=True)), m.distinct)
             new = np.concatenate(([True], pair[1:] != pair[:-1]))
             rank = np.cumsum(new) - 1
             k, sums = pair[new], np.add.reduceat(n, np.flatnonzero(new))
@@ -311,7 +319,7 @@ class Scorer:
     """The trie in a worker."""
 
     def __init__(self, model: Model):
-        self.model, self.words = model, Words(model)
+        self.model, self.words, self.read = model, Words(model), ByteWords(PLAIN)
         self.open = Opened(lambda a: (EliasFano.load(a, "key"), EliasFano.load(a, "pointer"), a["p"], int(a["first"][0]), EliasFano.load(a, "next"), a["next_p"], a["rest"]))
 
     def level(self, file: int) -> tuple:
@@ -364,12 +372,13 @@ class Scorer:
             p[lo + k[found]] = POWERS[stored_p[i[found]]]
         return p
 
-    def __call__(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> dict[str, np.ndarray]:
         m, words = self.model, self.words
-        docs = framed([tokens(t) for t in texts])
-        rows = words.rows(docs)
-        c, w = np.concatenate([r[:-1] for r in rows]), np.concatenate([r[1:] for r in rows])
-        lengths = np.array([len(r) - 1 for r in rows])
+        h, start, stop = framed(*self.read(texts))
+        rows, context, word = words.rows(h), np.ones(len(h), bool), np.ones(len(h), bool)
+        context[stop - 1] = word[start] = False
+        c, w = rows[context], rows[word]
+        lengths = stop - start - 1
         n = words.n[w]
         unigram = (n + 1) / (m.total + m.distinct + 1)
         prob = unigram.copy()
@@ -377,7 +386,7 @@ class Scorer:
         if len(k):
             # Unknown words share the place after all ids: only the context's children count for them.
             key = words.id[c[k]] * (m.distinct + 1) + np.where(n[k] > 0, words.id[w[k]], m.distinct)
-            order = np.argsort(key)
+            order = ascending(key)
             new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
             one, back = k[order[new]], np.empty(len(k), np.int64)
             back[order] = np.cumsum(new) - 1
@@ -398,7 +407,7 @@ class Scorer:
             k = k[n[k] > 0]
         if len(k):
             key = pair[k] * m.distinct + words.id[w[k]]
-            order = np.argsort(key)
+            order = ascending(key)
             new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
             one, back = k[order[new]], np.empty(len(k), np.int64)
             back[order] = np.cumsum(new) - 1
@@ -436,7 +445,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(frames):
         scorer = Scorer(held.value)
         for b in batches(frames):
-            r = scorer(text_bytes(b.column(at)))
+            r = scorer(b.column(at))
             train = pa.array(np.full(b.num_rows, scorer.model.total), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(r["n_tokens"]), pa.array(r["n_known"]), train, pa.array(r["base_score"]), pa.array(r["bigram_score"]), pa.array(r["score"])],

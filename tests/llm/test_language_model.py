@@ -160,7 +160,7 @@ def test_triples_of_many_words():
     pair, after, n = rng.integers(0, 30, 500), rng.integers(0, 5, 500), rng.integers(1, 9, 500)
     for weights in (None, n):
         small, large = (lm.counted_triples(pair, after, weights, d) for d in (5, 2**22))
-        assert all((a == b).all() for a, b in zip(small, large, strict=True))
+        assert all((a == b).all() for a, b in zip(small[:3], large[:3], strict=True))
 
 
 def test_query_trigrams(spark, small):
