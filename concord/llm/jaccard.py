@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PLAIN, WordHash, batches, hashes, mixed, scratch, stored, table, text_bytes, tune_batches
+from .common import PLAIN, ByteWords, batches, mixed, scratch, stored, table, tune_batches
 from .components import components
 
 N, PERCENT = 4, 85
@@ -56,17 +56,22 @@ PROBE = 0.5  # weight of a probe against the merge of an id, in DivideSkip's cho
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
-def shingle_set(text: bytes | None, n: int, seen: WordHash) -> np.ndarray:
-    """Sorted distinct shingle hashes (int64) of a text."""
-    h = hashes(text.translate(PLAIN).split(), seen) if text else np.empty(0, np.uint64)
-    if not len(h):
-        return h.astype(np.int64)
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out += h[i : len(h) - k + 1 + i] * _ODD[i % 8] ** np.uint64(1 + i // 8)
-    out = np.sort(mixed(out).view(np.int64))
-    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+def shingle_sets(h: np.ndarray, words: np.ndarray, n: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes (int64) of each text; h: its words' hashes, ``words`` of each text, one text after the other."""
+
+    def of(k: int, h: np.ndarray) -> np.ndarray:
+        """Shingles of k words from each place on."""
+        out = np.full(len(h) - k + 1, k, np.uint64)
+        for i in range(k):
+            out += h[i : len(h) - k + 1 + i] * _ODD[i % 8] ** np.uint64(1 + i // 8)
+        return mixed(out).view(np.int64)
+
+    every, out, at = of(n, h) if len(h) >= n else None, [], 0
+    for m in words.tolist():
+        s = np.sort(every[at : at + m - n + 1]) if m >= n else of(m, h[at : at + m]) if m else np.empty(0, np.int64)
+        out.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s)
+        at += m
+    return out
 
 
 def node_of(s: np.ndarray) -> int:
@@ -111,9 +116,9 @@ def describe(docs: DataFrame, text: str, n: int) -> DataFrame:
     """doc_id, n_shingles, node (null without shingles)."""
 
     def run(frames):
-        seen = WordHash()
+        read = ByteWords(PLAIN)
         for b in batches(frames):
-            sets = [shingle_set(t, n, seen) for t in text_bytes(b.column(1))]
+            sets = shingle_sets(*read(b.column(1)), n)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())],
                 ["doc_id", "n_shingles", "node"],
@@ -137,7 +142,7 @@ def element_rows(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     """(key, node, kind): kind 0 an element and the least node of a task that has it, kind 1 a node and one it is tied to."""
 
     def run(frames):
-        seen, done = WordHash(), set()
+        read, done = ByteWords(PLAIN), set()
         tokens, nodes, many = [], [], 0
 
         def flush():
@@ -150,8 +155,7 @@ def element_rows(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (key, node, kind)], ["key", "node", "kind"])
 
         for b in batches(frames):
-            for t in text_bytes(b.column(0)):
-                s = shingle_set(t, n, seen)
+            for s in shingle_sets(*read(b.column(0)), n):
                 if not len(s) or (node := node_of(s)) in done:
                     continue
                 if len(done) >= 200_000:
@@ -283,7 +287,7 @@ def group_links(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """rows: g, i, j, node, text, all rows of a group following each other -> (u, v)."""
 
     def run(frames):
-        seen = WordHash()
+        read = ByteWords(PLAIN)
         key, nodes, sets = None, [], []
 
         def close():
@@ -295,11 +299,10 @@ def group_links(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
         for b in batches(frames):
             out = []
-            for *k, node, t in zip(*(b.column(c).to_pylist() for c in range(4)), text_bytes(b.column(4)), strict=True):
+            for *k, node, s in zip(*(b.column(c).to_pylist() for c in range(4)), shingle_sets(*read(b.column(4)), n), strict=True):
                 if k != key:
                     out += close()
                     key, nodes, sets = k, [], []
-                s = shingle_set(t, n, seen)
                 # Repeated ids may bring another text or the same one twice.
                 if len(s) and node_of(s) == node and (not nodes or nodes[-1] != node):
                     nodes.append(node)
