@@ -44,7 +44,7 @@ from .elias_fano import EliasFano, Opened, dump
 
 DISCOUNT = 0.75
 END = np.uint64(ByteWords(PLAIN).word(b""))  # no word is empty
-FLUSH = 4_000_000  # tokens that a task adds up at a time
+FLUSH = 2_000_000  # tokens that a task adds up at a time
 FILE = 3_000_000  # words, or tokens of pairs, for each file
 PIECE = 200_000  # triples in a row of the shuffle
 STEP = 12.0 / 65535  # of a quantised log10 probability
@@ -193,9 +193,12 @@ def counted_triples(pair: np.ndarray, after: np.ndarray, n: np.ndarray | None, d
     order = ascending(pair)
     p = pair[order]
     # The pair's rank and the word fit in one number.
-    rank = np.cumsum(p[1:] != p[:-1])
-    key = np.concatenate((np.zeros(min(1, len(p)), np.int64), rank)) * (distinct + 1) + after[order]
+    key = np.zeros(len(p), np.int64)
+    np.cumsum(p[1:] != p[:-1], out=key[1:])
+    key *= distinct + 1
+    key += after[order]
     order = order[ascending(key)]
+    del p, key
     pair, after = pair[order], after[order]
     starts = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (after[1:] != after[:-1]))))
     n = np.diff(np.append(starts, len(pair))) if n is None else np.add.reduceat(n[order], starts)
@@ -211,7 +214,8 @@ def count_triples(docs: DataFrame, model: "Model") -> DataFrame:
         words, read, kept, many = Words(m), ByteWords(PLAIN), [], 0
 
         def flush():
-            pair, after, file = map(np.concatenate, zip(*kept, strict=True))
+            pair, after, file = (np.concatenate(x) for x in zip(*kept, strict=True))
+            kept.clear()
             pair, after, n, at = counted_triples(pair, after, None, m.distinct)
             file = file[at]
             cuts = [0, *(np.flatnonzero(file[1:] != file[:-1]) + 1).tolist(), len(file)]
@@ -223,9 +227,9 @@ def count_triples(docs: DataFrame, model: "Model") -> DataFrame:
                     yield pa.RecordBatch.from_pylist([row], pa.schema([("file", pa.int32()), ("pair", pa.binary()), ("after", pa.binary()), ("n", pa.binary())]))
 
         for b in batches(frames):
-            if kept and many >= FLUSH:
+            if many >= FLUSH:
                 yield from flush()
-                kept, many = [], 0
+                many = 0
             h, _, stop = framed(*read(b.column(0)))
             row = words.rows(h)
             ids = words.id[row]
@@ -235,7 +239,7 @@ def count_triples(docs: DataFrame, model: "Model") -> DataFrame:
             inside = np.ones(len(ids), bool)
             inside[stop - 1] = False
             c, w = row[:-1][inside[:-1]], row[1:][inside[:-1]]
-            kept.append((words.id[c] * m.distinct + words.id[w], after[inside[:-1]], file_of(words.before[c], words.n[c], words.before[w], m.total, m.files)))
+            kept.append((words.id[c] * m.distinct + words.id[w], after[inside[:-1]], file_of(words.before[c], words.n[c], words.before[w], m.total, m.files).astype(np.int32)))
             many += len(c)
         if kept:
             yield from flush()
