@@ -12,8 +12,12 @@
 3. Nodes with a common element are tied to the least of them: in each task
    first, so that a very common element leaves a task once, then by Spark.
 4. Components of these ties hold every link within them. The sets of a
-   component meet in one group, or, where they have more than GROUP shingles, in
-   groups of two blocks each, so that every pair meets.
+   component are dealt to blocks, and every two blocks meet in a group, so every
+   pair meets; a component of no more than a task's share of all shingles has one
+   block. A larger one has as many as it has shares, though no more than make a
+   few groups for each task, or as many as keep groups below GROUP shingles. So
+   one plan serves every size, and no task has more than its share while
+   components are below GROUP * sqrt(2 * tasks) shingles.
 5. In a group, a T-occurrence search (DivideSkip) over inverted lists counts
    overlaps exactly: short lists are merged by a heap, long ones probed by
    bisection. The lists are of leaders, sets not linked with an earlier leader.
@@ -39,7 +43,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import PLAIN, ByteWords, batches, mixed, scratch, stored, table, tune_batches
@@ -49,7 +53,8 @@ N, PERCENT = 4, 85
 CLASS = 1.5  # sizes of a class lie within this ratio
 CROWD, SMALL = 4.2, 64  # shingles to a bucket for the largest sets of a class; below SMALL shingles one to a bucket
 FLUSH = 2_000_000  # elements that a task ties at a time
-GROUP = 3_000_000  # shingles of a group of sets that are compared in one task
+GROUP = 1_000_000  # shingles of a group of sets that are compared in one task
+SHARE = 2_000  # shingles; components of no more are never dealt to blocks
 TRIED = 4  # leaders, of the largest balls, that a set is tried with while there is one component
 HEAP = 500  # ids that are merged by a heap
 PROBE = 0.5  # weight of a probe against the merge of an id, in DivideSkip's choice of long lists
@@ -313,6 +318,14 @@ def group_links(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def blocks_of(size: Column, total: int, tasks: int, group: int) -> Column:
+    """Blocks of a component of some shingles, of ``total`` in all; two would meet in one group like one."""
+    share = max(SHARE, -(-total // tasks))
+    some = F.least(F.ceil(size / share), F.lit(math.ceil(math.sqrt(8 * tasks))))
+    many = F.greatest(some, F.ceil(size / (group / 2))).cast("int")
+    return F.when((size <= share) | (many <= 2), 1).otherwise(many)
+
+
 def jaccard_components(docs: DataFrame, folder: str, text: str = "text", n: int = N, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, node and component_id, one row for each row of docs."""
     spark = docs.sparkSession
@@ -320,24 +333,21 @@ def jaccard_components(docs: DataFrame, folder: str, text: str = "text", n: int
     each = stored(describe(docs, text, n), f"{folder}/each")
     near = components(ties(element_rows(docs, text, n, percent)), f"{folder}/near")
     reps = each.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    total = reps.agg(F.sum("n")).first()[0] or 0
     roots = near.select("root").distinct().select(F.col("root").alias("node"), "root")
     members = near.unionByName(roots).join(reps, "node").where("rep IS NOT NULL")
-    sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / (group / 2)).cast("int").alias("blocks")).withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
+    size = F.sum("n").cast("long")
+    sizes = members.groupBy("root").agg(blocks_of(size, total, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), group).alias("blocks"))
     members = stored(members.join(sizes, "root"), f"{folder}/members")
-    split = members.where("blocks > 1").limit(1).count() > 0
     # Sorted at every size: how many members there are must not change the plan.
     met = docs.select("doc_id", F.col(text).cast("string").alias("text")).hint("merge").join(members.select(F.col("rep").alias("doc_id"), "node", "root", "blocks"), "doc_id")
-    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    met = met.withColumn("block", block)
-    if split:
-        met = met.withColumn("with", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))))
-    else:
-        met = met.withColumn("with", F.lit(0))
-    met = met.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "text")
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
+    met = met.withColumn("with", F.explode(others)).select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "text")
     met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     links = stored(group_links(met, n, percent), f"{folder}/links")
-    links = components(links, f"{folder}/linked") if split else links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    nodes = reps.join(links, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    linked = components(links, f"{folder}/linked")
+    nodes = reps.join(linked, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = nodes.join(least, "root").select("node", "component_id")
     return each.join(named, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -121,12 +121,30 @@ def test_small(spark, docs):
     texts = corpus(random.Random(7))
     want = brute(range(len(texts)), texts)
     d = docs(texts, ["node", "root", "component_id"])
-    for group in (3_000_000, 1500):
+    for group in (1_000_000, 1500):
         got = jaccard_components(d, scratch(spark, "t"), group=group)
         assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == want, group
     assert jaccard_components(d.limit(0), scratch(spark, "t")).count() == 0
 
 
+def test_blocks(spark, docs, monkeypatch):
+    """A component over a task's share is dealt to blocks; no group has more than its part of it."""
+    sizes = spark.createDataFrame([(10,), (2000,), (60_000,), (400_000,), (90_000_000,)], "n long")
+    at = lambda *x: [r[0] for r in sizes.orderBy("n").select(jaccard.blocks_of(sizes["n"], *x)).collect()]
+    assert at(500_000, 211, 1_000_000) == [1, 1, 26, 42, 180] and at(500_000, 4, 10**9) == [1, 1, 1, 4, 6]
+    monkeypatch.setattr(jaccard, "SHARE", 100)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(80):
+        w = base[:]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    got = jaccard_components(docs(texts), scratch(spark, "t"))
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == brute(range(80), texts)
+
+
 def test_query(spark, small):
     t = spark.read.parquet(f"{small}/documents.parquet").collect()
     want = brute([r.doc_id for r in t], [r.text for r in t])
