@@ -1,26 +1,27 @@
-"""Helpers shared by the training-data operators: shared files, byte words, token ids."""
+"""Helpers shared by the training-data operators: files, byte words, token ids."""
 
 from __future__ import annotations
 
-import atexit
 import json
 import os
 import posixpath
 import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from concord.files import opened as open_fs
+from concord.files import remove as drop_scratch
+from concord.files import scratch, stored
+
+
 # Bytes of text that one Arrow batch may bring to a Python worker.
 BATCH_BYTES = 8 << 20
 
@@ -29,60 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only where that setting is absent and Spark is one process (tests) a
-    temporary folder is made and set; on a cluster its absence is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        own = getattr(shared_dir, "own", None)
-        if own is None or not os.path.isdir(own):
-            own = shared_dir.own = tempfile.mkdtemp(prefix="concord-")
-            atexit.register(shutil.rmtree, own, True)
-        spark.sparkContext.setCheckpointDir(own)
-        root = f"file://{own}"
-    return root
-
-
-_made: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI below the shared folder; removed when this process ends, for results may be read from it until then."""
-    path = f"{shared_dir(spark).rstrip('/')}/concord/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(lambda: [drop_scratch(x) for x in _made])
-    _made.append(path)
-    return path
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes df as Parquet and reads it back, which cuts its lineage."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(path: str) -> None:
-    """Removes a folder that nothing reads any more; what cannot be removed stays."""
-    try:
-        fs, at = open_fs(path)
-        fs.delete_dir(at)
-    except (OSError, pa.ArrowException):
-        return
-
-
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 def write_file(uri: str, fill: Callable[[pa.NativeFile], None]) -> None:
     """Writes a file under a name of its own, then renames it: a repeated or
     killed task never leaves half a file under the final name."""

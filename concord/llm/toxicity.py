@@ -7,7 +7,8 @@ logistic loss on binned features (Newton steps); isotonic regression on labelled
 rows that the trees have not seen turns their margin into a probability.
 
 Labels are learned from at most SAMPLE labelled rows, those of the smallest
-hashes of doc_id; every row is scored, in one pass without a shuffle. Only the
+hashes of doc_id. Their words are counted and their features worked out by
+Spark; no text comes to the driver. Every row is scored, in one pass without a shuffle. Only the
 text goes into a score.
 
 Defined results: null and empty texts get the score of their (all-zero)
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, batches, extended, hash_bucket, table, text_bytes, tune_batches
+from .common import ALNUM, batches, drop_scratch, extended, hash_bucket, scratch, stored, table, text_bytes, tune_batches
 
 SAMPLE = 12_000
 LIMIT = 0.7
@@ -99,22 +100,31 @@ class Features:
         ]
 
 
-def learn_lexicon(texts: list[bytes], y: np.ndarray, most: int = LEARNED) -> frozenset[bytes]:
-    """Words whose share of texts with label 1 is far above that with label 0; equal texts count once."""
-    once = {t: v for t, v in zip(texts, y, strict=True) if t}
-    with_1, with_0, n1 = Counter(), Counter(), sum(once.values())
-    for t, v in once.items():
-        (with_1 if v else with_0).update({w for w in t.translate(ALNUM).split() if len(w) > 2})
-    n0 = len(once) - n1
+def words_of(text: bytes) -> set[bytes]:
+    """What of a text may come into the learned lexicon."""
+    return {w for w in text.translate(ALNUM).split() if len(w) > 2}
+
+
+def chosen_words(with_1: dict, with_0: dict, n1: int, n0: int, most: int = LEARNED) -> frozenset[bytes]:
+    """Words whose share of the n1 texts with label 1 is far above that of the n0 with label 0; with_1, with_0: texts that hold each."""
     scored = []
     for w, k in with_1.items():
         if k >= max(5, 0.01 * n1):
-            odds = np.log((k + 0.5) / (n1 + 1)) - np.log((with_0[w] + 0.5) / (n0 + 1))
+            odds = np.log((k + 0.5) / (n1 + 1)) - np.log((with_0.get(w, 0) + 0.5) / (n0 + 1))
             if odds > 3:
                 scored.append((-odds * np.log1p(k), w))
     return frozenset(w for _, w in sorted(scored)[:most])
 
 
+def learn_lexicon(texts: list[bytes], y: np.ndarray) -> frozenset[bytes]:
+    """Equal texts count once, with the last one's label."""
+    once = {t: v for t, v in zip(texts, y, strict=True) if t}
+    with_1, with_0, n1 = Counter(), Counter(), int(sum(once.values()))
+    for t, v in once.items():
+        (with_1 if v else with_0).update(words_of(t))
+    return chosen_words(with_1, with_0, n1, len(once) - n1)
+
+
 class Trees:
     """Newton boosting on binned features; complete trees of fixed depth as arrays."""
 
@@ -187,22 +197,33 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(knots), np.array(means)
 
 
+def roles(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are kept for calibration, and the places of those from which words are learned.
+
+    The learned words come from rows whose features the trees don't learn from
+    alone: half and half.
+    """
+    kept = np.arange(len(y)) % CALIBRATE == 0
+    if len(y) < FEW or len(set(y[~kept])) < 2 or len(set(y[kept])) < 2:
+        kept[:] = False
+    return kept, np.flatnonzero(~kept)[::2]
+
+
 class Model:
     def __init__(self, share: float = 0.0):
         self.share, self.trees, self.learned = share, None, frozenset()
 
     def fit(self, texts: list[bytes], y: np.ndarray) -> "Model":
+        """From texts at hand; train gives the same from a table."""
         self.share = float(y.mean()) if len(y) else 0.0
-        kept = np.arange(len(y)) % CALIBRATE == 0
         if len(set(y)) < 2:
             return self
-        if len(y) < FEW or len(set(y[~kept])) < 2 or len(set(y[kept])) < 2:
-            kept[:] = False
-        # The learned words come from rows whose features the trees don't learn from: half and half.
-        half = np.flatnonzero(~kept)[::2]
+        kept, half = roles(y)
         self.learned = learn_lexicon([texts[i] for i in half], y[half])
         make = Features(self.learned)
-        x = np.array([make(t) for t in texts])
+        return self.fit_features(np.array([make(t) for t in texts]), y, kept)
+
+    def fit_features(self, x: np.ndarray, y: np.ndarray, kept: np.ndarray) -> "Model":
         self.trees = Trees().fit(x[~kept], y[~kept])
         self.calibration = isotonic(self.trees.margin(x[kept]), y[kept]) if kept.any() else None
         return self
@@ -215,14 +236,50 @@ class Model:
         return np.interp(margin, *self.calibration) if self.calibration else 1 / (1 + np.exp(-margin))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """labels: doc_id and label; at most sample rows are learned from, and they alone come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, folder: str, text: str = "text", sample: int = SAMPLE) -> Model:
+    """labels: doc_id and label; at most sample rows are learned from. Of them only ids, the learned words and features come to the driver."""
+    spark = docs.sparkSession
+    tune_batches(spark)
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = docs.select("doc_id", F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "doc_id")
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("t")).limit(sample)
-    rows = list(got.select("label", "t").toLocalIterator())
-    return Model().fit([(r.t or "").encode() for r in rows], np.array([r.label for r in rows], float))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = given.join(F.broadcast(chosen), "doc_id").select("doc_id", "h", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample).collect()
+    y = np.array([r.label for r in rows], float)
+    model = Model(float(y.mean()) if len(y) else 0.0)
+    if len(set(y)) < 2:
+        return model
+    kept, half = roles(y)
+    # One row for each id and text, and for each text one that may teach words: the last.
+    teaches = {rows[i].h: i for i in half.tolist()}
+    wanted = {(r.doc_id, r.h): i for i, r in enumerate(rows)}
+    frame = spark.createDataFrame([(d, h, int(y[i]), h in teaches and rows[teaches[h]].doc_id == d, int(y[teaches[h]]) if h in teaches else 0) for (d, h), i in wanted.items()], "doc_id long, h long, label int, teaches boolean, says int")
+    picked = stored(given.join(F.broadcast(frame), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]), f"{folder}/labelled")
+
+    def count(frames):
+        n: Counter = Counter()
+        for b in batches(frames):
+            for t, v in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
+                n.update((w, v) for w in words_of(t))
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in n], pa.binary()), pa.array([v for _, v in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["word", "label", "n"])
+
+    taught = picked.where("teaches AND t <> ''")
+    n1, texts = taught.agg(F.coalesce(F.sum("says"), F.lit(0)), F.count("*")).first()
+    words = taught.select("t", "says").mapInArrow(count, "word binary, label int, n long").groupBy("word")
+    words = words.agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"))
+    # By the rule of chosen_words, so that few words come to the driver.
+    frequent = words.where((F.col("n1") >= max(5, 0.01 * n1)) & (F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (texts - n1 + 1)) > 3)).collect()
+    model.learned = chosen_words({bytes(r.word): r.n1 for r in frequent}, {bytes(r.word): r.n0 for r in frequent}, n1, texts - n1)
+    learned = model.learned
+
+    def features(frames):
+        make = Features(learned)
+        for b in batches(frames):
+            x = [make(t) for t in text_bytes(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "h", "x"])
+
+    x = {(r.doc_id, r.h): r.x for r in picked.select("doc_id", "h", "t").mapInArrow(features, "doc_id long, h long, x array<double>").collect()}  # at most sample rows of numbers
+    drop_scratch(f"{folder}/labelled")
+    return model.fit_features(np.array([x[r.doc_id, r.h] for r in rows]), y, kept)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", limit: float = LIMIT) -> DataFrame:
@@ -243,5 +300,5 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", limit: flo
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(hash_bucket("doc_id", 3) != 1)
-    out = score_toxicity(docs, train(docs, labels))
+    out = score_toxicity(docs, train(docs, labels, scratch(spark, "toxicity")))
     return out.select("doc_id", (hash_bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")

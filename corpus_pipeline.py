@@ -29,7 +29,7 @@ MARK = "[SECRET]"
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(hash_bucket("doc_id", 3) != 1)
-    scored = score_toxicity(docs, train(docs, labels))
+    scored = score_toxicity(docs, train(docs, labels, scratch(spark, "pipeline-toxicity")))
     # As the operator has it, words are of 0-9, letters and everything beyond ASCII.
     wordless = ~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
     return scored.where((F.col("predicted") == 0) | wordless).select(docs.columns)

@@ -47,7 +47,7 @@ def test_run(spark, tmp_path):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "toxic AS label").where("crc32(CAST(doc_id AS STRING)) % 3 <> 1")
-    kept = {r.doc_id: r.text for r in score_toxicity(docs, train(docs, labels)).where("predicted = 0").collect()}
+    kept = {r.doc_id: r.text for r in score_toxicity(docs, train(docs, labels, str(tmp_path / 'model'))).where("predicted = 0").collect()}
     assert not any("idiot" in (t or "") for t in kept.values())
     assert len(kept) >= sum("idiot" not in (t or "") for t in texts)
     ids = sorted(kept)
