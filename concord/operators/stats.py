@@ -125,8 +125,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: list[float]) -> dict[s
 
     A few are found by brackets: a sketch gives two values around each, one pass
     counts what lies below and between, and only what lies between is ranked
-    exactly (a bracket of over HELD values is narrowed first). For many, values
-    are sorted by ranges and picked by rank. No task holds all values of a column.
+    exactly (a bracket of over HELD values is narrowed first). For many, and where
+    brackets do not help, values are sorted by ranges and picked by rank. No task
+    holds all values of a column.
     """
     view = df.select([present(c).alias(str(i)) for i, c in enumerate(columns)])
     if len(q) > FEW:
@@ -142,36 +143,36 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: list[float]) -> dict[s
                 lo = first[f"lo{i}"] if p - 2 / accuracy <= 0 else at[max(0.0, p - 2 / accuracy)]
                 hi = first[f"hi{i}"] if p + 2 / accuracy >= 1 else at[min(1.0, p + 2 / accuracy)]
                 brackets[i, j] = [lo, hi]
-    found: dict[tuple[int, int], float] = {}
-    while brackets:
+    found: dict[tuple[int, int], float | None] = {}
+    for narrowed in range(3):
         inside = {k: F.col(str(k[0])).between(*b) for k, b in brackets.items()}
+        if not inside:
+            break
         row = view.agg(*(f for k, b in brackets.items() for f in (F.count_if(F.col(str(k[0])) < b[0]).alias(f"b{k[0]}_{k[1]}"), F.count_if(inside[k]).alias(f"m{k[0]}_{k[1]}")))).first()
-        exact, narrower = {}, {}
-        for k, (lo, hi) in brackets.items():
-            below, m, place = row[f"b{k[0]}_{k[1]}"], row[f"m{k[0]}_{k[1]}"], q[k[1]] * (first[f"n{k[0]}"] - 1)
-            if below > int(place) or below + m < min(int(place) + 2, first[f"n{k[0]}"]):
-                brackets[k] = narrower[k] = [first[f"lo{k[0]}"], first[f"hi{k[0]}"]]  # the sketch missed
-            elif lo == hi:
+        exact, wide_ones = {}, {}
+        for k, (lo, hi) in list(brackets.items()):
+            below, m, n = row[f"b{k[0]}_{k[1]}"], row[f"m{k[0]}_{k[1]}"], first[f"n{k[0]}"]
+            place = q[k[1]] * (n - 1)
+            if below > int(place) or below + m < min(int(place) + 2, n):
+                continue  # the sketch missed: ranked below
+            if lo == hi:
                 found[k] = lo
-                continue
-            share = min(1.0, max(0.0, (place - below) / max(1, m - 1)))
-            (exact if m <= HELD and k not in narrower else narrower).setdefault(k, share)
-        held = {k: F.when(inside[k], F.col(str(k[0]))) for k in exact}
+            else:
+                (exact if m <= HELD else wide_ones)[k] = min(1.0, max(0.0, (place - below) / max(1, m - 1)))
         if exact:
-            got = view.agg(*(F.percentile(held[k], share).alias(f"{k[0]}_{k[1]}") for k, share in exact.items())).first()
+            got = view.agg(*(F.percentile(F.when(inside[k], F.col(str(k[0]))), share).alias(f"{k[0]}_{k[1]}") for k, share in exact.items())).first()
             found |= {k: got[f"{k[0]}_{k[1]}"] for k in exact}
-        left = {}
-        for k, share in narrower.items():
-            if isinstance(share, list):
-                left[k] = share
-                continue
-            c = F.when(inside[k], F.col(str(k[0])))
-            left[k] = list(view.agg(F.percentile_approx(c, [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)], accuracy)).first()[0])
-            if left[k] == brackets[k]:  # ties that no bracket parts
-                got = view.agg(F.percentile(c, share)).first()[0]
-                found[k] = got
-                del left[k]
-        brackets = left
+        brackets = {}
+        if wide_ones and narrowed < 2:
+            near = lambda share: [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)]
+            got = view.agg(*(F.percentile_approx(F.when(inside[k], F.col(str(k[0]))), near(share), accuracy).alias(f"{k[0]}_{k[1]}") for k, share in wide_ones.items())).first()
+            brackets = {k: list(got[f"{k[0]}_{k[1]}"]) for k in wide_ones}
+    # What no bracket could part (ties, or a sketch that missed) is ranked by a sort in ranges.
+    for i in range(len(columns)):
+        left = [j for j in range(len(q)) if (i, j) not in found and first[f"n{i}"]]
+        if left:
+            ranked = _by_rank(view.select(F.col(str(i)).alias("v")).where("v IS NOT NULL"), [q[j] for j in left])
+            found |= {(i, j): v for j, v in zip(left, ranked, strict=True)}
     return {c: [found.get((i, j)) for j in range(len(q))] for i, c in enumerate(columns)}
 
 
