@@ -38,15 +38,17 @@ def keyword_lookup(queries: DataFrame, server: DataFrame, keys: list[str] | None
     return rows.join(asked, equal, "left_semi").select(*labels)
 
 
-def build_lookup_table(server: DataFrame, keys: str | list[str], table: str, buckets: int = 64, rebuild: bool = False) -> DataFrame:
+def build_lookup_table(server: DataFrame, keys: str | list[str], table: str, buckets: int = 64, rebuild: bool = False, path: str | None = None) -> DataFrame:
     """The server's offline part: a table bucketed and sorted by the text of its keys, so that lookups do not shuffle it.
 
     A table of that name that is there already is used as it is, unless rebuild.
+    path: where its files go, if not to the warehouse.
     """
     spark = server.sparkSession
     if rebuild or not spark.catalog.tableExists(table):
         rows, names = with_keys(server, [keys] if isinstance(keys, str) else keys)
-        rows.write.mode("overwrite").bucketBy(buckets, *names).sortBy(*names).saveAsTable(table)
+        writer = rows.write.mode("overwrite").bucketBy(buckets, *names).sortBy(*names)
+        (writer.option("path", path) if path else writer).saveAsTable(table)
     return spark.table(table)
 
 

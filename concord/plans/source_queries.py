@@ -364,7 +364,7 @@ def pir_table(spark, sf):
     """The server's table is built once, bucketed by its key, and used again."""
     name = "lookup_" + "".join(x if x.isalnum() else "_" for x in sf)
     part = t(spark, sf, "part").select("p_partkey", "p_name", "p_size")
-    lookup.build_lookup_table(part, "p_partkey", name, buckets=4, rebuild=True)
+    lookup.build_lookup_table(part, "p_partkey", name, buckets=4, rebuild=True, path=scratch(spark, "lookup"))
     again = lookup.build_lookup_table(part.limit(0), "p_partkey", name)
     return lookup.keyword_lookup(lookup.query_frame(spark, [3, 8, 150, -1]), again, ["p_partkey"])
 

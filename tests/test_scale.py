@@ -33,10 +33,10 @@ def test_numbered(spark):
     assert "SinglePartition" not in plan(lookup.row_lookup(df, ["v"], [5])).split("Window")[0]
 
 
-def test_offline_table(spark):
+def test_offline_table(spark, tmp_path):
     """A lookup reads the server's table as it is dealt: no exchange on its side."""
     server = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    table = lookup.build_lookup_table(server, "k", "offline_test", buckets=4, rebuild=True)
+    table = lookup.build_lookup_table(server, "k", "offline_test", buckets=4, rebuild=True, path=str(tmp_path / "t"))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
@@ -48,7 +48,7 @@ def test_offline_table(spark):
         assert got.columns == ["k", "v"]
         # Used again as it is; built anew only when asked for.
         assert lookup.build_lookup_table(server.limit(0), "k", "offline_test").count() == 500
-        assert lookup.build_lookup_table(server.limit(9), "k", "offline_test", rebuild=True).count() == 9
+        assert lookup.build_lookup_table(server.limit(9), "k", "offline_test", rebuild=True, path=str(tmp_path / "u")).count() == 9
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql("DROP TABLE offline_test")
