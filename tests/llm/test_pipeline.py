@@ -81,3 +81,17 @@ def test_wordless_pass_toxicity(spark, docs, tmp_path):
     spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     d = docs(["you idiot", None, "", " .. ", "é"])
     assert sorted(r.doc_id for r in cp.toxicity(spark, d, str(tmp_path)).collect()) == [1, 2, 3]
+
+
+def test_run_odd_tables(spark, tmp_path):
+    """Empty tables, and columns named as results of the operators are; nothing crashes, clean documents stay."""
+    texts = ["one clean text of some words", None, "", "another clean text, longer than the first one by a few words", "token=abcdef123 in it"]
+    d = [(i, t, "en", "s", len(t or ""), "x", 1.0, 2, "y") for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, score double, n_words long, secrets string"
+    labels, items = "doc_id long, quality int, toxic int", "item_id long, text string"
+    for name, rows, bench, want in (("no-labels", d, [(1, "some benchmark item")], {0, 1, 2, 3, 4}), ("nothing", [], [], set()), ("hit", d, [(1, "clean text of some words")], {1, 2, 3, 4})):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], labels).write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame(bench, items).write.parquet(f"{sf}/benchmark.parquet")
+        assert {r.doc_id for r in cp.run(spark, sf).collect()} == want, name
