@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
 from contextlib import closing
 from functools import reduce
@@ -156,16 +157,17 @@ def sqlite_impute(spark, sf):
     return clean.impute(df, {"s_acctbal": "double"}, "MAX")
 
 
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
 def jdbc_url(spark, df, table: str) -> str:
     """A database in the driver's process, by the JDBC driver that Spark brings along."""
     url = "jdbc:derby:memory:concord;create=true"
-    df.write.format("jdbc").options(url=url, dbtable=table, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)  # or it leaves a log in the working folder
+    df.write.format("jdbc").options(url=url, dbtable=table, **DERBY).mode("overwrite").save()
     return url
 
 
-DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-
-
 @query("SELECT n_nationkey, n_name FROM nation")
 def jdbc_scan(spark, sf):
     """Read in ranges of a column, by several tasks."""
