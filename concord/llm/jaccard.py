@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PLAIN, ByteWords, batches, mixed, scratch, stored, table, tune_batches
+from .common import PLAIN, ByteWords, batches, drop_scratch, mixed, scratch, stored, table, tune_batches
 from .components import components
 
 N, PERCENT = 4, 85
@@ -331,7 +331,10 @@ def jaccard_components(docs: DataFrame, folder: str, text: str = "text", n: int
     spark = docs.sparkSession
     tune_batches(spark)
     each = stored(describe(docs, text, n), f"{folder}/each")
-    near = components(ties(element_rows(docs, text, n, percent)), f"{folder}/near")
+    # Stored, for a round reads its edges several times, and would sort all elements anew each time.
+    tie = stored(ties(element_rows(docs, text, n, percent)), f"{folder}/ties")
+    near = components(tie, f"{folder}/near")
+    drop_scratch(f"{folder}/ties")
     reps = each.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     total = reps.agg(F.sum("n")).first()[0] or 0
     roots = near.select("root").distinct().select(F.col("root").alias("node"), "root")

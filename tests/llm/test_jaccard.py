@@ -145,6 +145,16 @@ def test_blocks(spark, docs, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == brute(range(80), texts)
 
 
+def test_ties_are_stored(spark, docs, monkeypatch):
+    """The rounds read their edges several times; all elements must be sorted once only."""
+    plans, find = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges, folder: plans.append(edges._jdf.queryExecution().toString()) or find(edges, folder))
+    texts = ["a b c d e f g h", "a b c d e f g h i", "x y z"] * 2
+    got = jaccard_components(docs(texts), scratch(spark, "t"))
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == brute(range(6), texts)
+    assert len(plans) == 2 and not any("Window" in p or "MapInArrow" in p for p in plans)
+
+
 def test_query(spark, small):
     t = spark.read.parquet(f"{small}/documents.parquet").collect()
     want = brute([r.doc_id for r in t], [r.text for r in t])
