@@ -1,9 +1,13 @@
 """Plans and shapes that must hold at any size: ranges, native keys, offline tables, exact quantiles, tasks."""
 
+import glob
 import json
+import os
+import subprocess
 import time
 
 import numpy as np
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ from concord.files import before, numbered, ranged, scratch
 from concord.functions import scalar, udf
 from concord.operators import lookup, psi, stats
 from concord.operators.ml import linear, metrics, mlp
-from concord.plans import task
+from concord.plans import source_queries, task
 from concord.sources import tables
 
 
@@ -212,3 +216,15 @@ def test_scalars(spark):
     assert [r[0] for r in df.select(scalar.power_of_two_rank(F.col("x"))).collect()] == [0, 1, 3, None, None]
     assert [r[0] for r in df.select(scalar.histogram_bucket(F.col("x"), 0, 1, 4)).collect()] == [2, 3, None, 0, None]
     assert spark.sql("SELECT 'a####b##' AS s").select(scalar.parts(F.col("s"))).first()[0] == ["a", "b##"]
+
+
+def test_database_of_other_processes(spark, small, tmp_path):
+    """What jdbc queries read can be opened by executors, which are other processes, while the driver has it open."""
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "K int, N string")
+    url = source_queries.jdbc_url(spark, df, "SHARED")
+    assert tables.read_jdbc(spark, url, options={"table": "SHARED", **source_queries.DERBY}).count() == 3
+    java = spark.sparkContext._jvm.java.lang.System.getProperty("java.home") + "/bin/java"
+    jars = ":".join(glob.glob(f"{os.path.dirname(pyspark.__file__)}/jars/derby*.jar"))
+    (tmp_path / "x.sql").write_text("SELECT count(*) + 40 AS n FROM SHARED WHERE N IS NOT NULL;\n")
+    run = subprocess.run([java, "-cp", jars, f"-Dij.database={url}", "org.apache.derby.tools.ij", "x.sql"], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert "42" in run.stdout.split(), run.stdout
