@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.files import before, ranged, scratch
+from concord.operators.stats import exact_quantiles
 
 
-def regression(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """One row: ev, maxe, mae, mse, rmse, msle, medae, mape, r2."""
+REGRESSION = ("ev", "maxe", "mae", "mse", "rmse", "msle", "medae", "mape", "r2")
+
+
+def regression(df: DataFrame, y: str = "y", p: str = "p", only: list[str] | None = None) -> DataFrame:
+    """One row: ev, maxe, mae, mse, rmse, msle, medae, mape, r2, or only some of them.
+
+    The median is found at once, by passes of its own, so that no task holds all
+    errors; the rest is one aggregate.
+    """
     d, e = F.col(y).cast("double"), F.col(p).cast("double")
     err = d - e
     eps = 2.220446049250313e-16
@@ -22,11 +30,16 @@ def regression(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
         F.avg(F.abs(err)).alias("mae"),
         F.avg(err * err).alias("mse"),
         F.avg(F.when((d >= 0) & (e >= 0), F.pow(F.log1p(F.greatest(d, F.lit(0.0))) - F.log1p(F.greatest(e, F.lit(0.0))), 2))).alias("msle"),
-        F.median(F.abs(err)).alias("medae"),
         F.avg(F.abs(err) / F.greatest(F.abs(d), F.lit(eps))).alias("mape"),
     )
     share = lambda v: F.when(F.col("_vy") == 0, F.when(v == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(v, F.col("_vy")))
-    return out.select(share(F.col("_ve")).alias("ev"), "maxe", "mae", "mse", F.sqrt("mse").alias("rmse"), "msle", "medae", "mape", share(F.col("mse")).alias("r2"))
+    named = {n: F.col(n) for n in ("maxe", "mae", "mse", "msle", "mape")} | {"ev": share(F.col("_ve")), "rmse": F.sqrt("mse"), "r2": share(F.col("mse"))}
+    if only is None or "medae" in only:
+        # NaN is the largest error; ranked as an infinity.
+        inf = F.lit(float("inf"))
+        middle = F.lit(exact_quantiles(df.select(F.when(F.isnan(err), inf).otherwise(F.abs(err)).alias("e")), ["e"], [0.5])["e"][0]).cast("double")
+        named["medae"] = F.when(F.isnan("mae") & (middle == inf), float("nan")).otherwise(middle)
+    return out.select(*(named[n].alias(n) for n in only or REGRESSION))
 
 
 def classification(df: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5) -> DataFrame:

@@ -310,7 +310,7 @@ def roc_merging(spark, sf):
 @query("SELECT round(sum(m * n) / sum(n), 6) AS mae FROM (SELECT l_orderkey % 3 AS k, avg(abs(l_quantity - 25)) AS m, count(*) AS n FROM lineitem WHERE l_orderkey % 7 > 2 OR l_orderkey % 3 > 0 GROUP BY 1)")
 def metric_averaging(spark, sf):
     li = t(spark, sf, "lineitem").where("l_orderkey % 7 > 2 OR l_orderkey % 3 > 0").select("l_orderkey", F.col("l_quantity").alias("y"), F.lit(25.0).alias("p"))
-    parts = [(metrics.regression(df).select("mae").first().asDict(), df.count()) for df in stats.split_parties(li, "l_orderkey", 3).values()]
+    parts = [(metrics.regression(df, only=["mae"]).first().asDict(), df.count()) for df in stats.split_parties(li, "l_orderkey", 3).values()]
     return rounded(said(spark, [(metrics.averaged(parts)["mae"],)], "mae double"))
 
 

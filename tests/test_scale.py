@@ -16,6 +16,7 @@ from concord.files import before, numbered, ranged, scratch
 from concord.functions import scalar, udf
 from concord.operators import lookup, psi, stats
 from concord.operators.ml import linear, metrics, mlp
+from concord.operators.preprocess import imputer
 from concord.plans import source_queries, task
 from concord.sources import tables
 
@@ -96,6 +97,22 @@ def test_roc_in_ranges(spark):
     assert metrics.auc(df).first().auc == pytest.approx((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2)
 
 
+def test_median_error(spark):
+    """No aggregate holds all errors, and the median is that of all."""
+    rng = np.random.default_rng(2)
+    y, p = rng.normal(size=3001).round(3), rng.normal(size=3001)
+    df = spark.createDataFrame(list(zip(y.tolist(), p.tolist(), strict=True)), "y double, p double")
+    got = metrics.regression(df)
+    assert "median" not in plan(got) and "percentile" not in plan(got)
+    assert got.columns == list(metrics.REGRESSION) and got.first().medae == pytest.approx(np.median(np.abs(y - p)))
+    assert metrics.regression(df, only=["mae", "r2"]).columns == ["mae", "r2"]
+    missing = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0), (float("nan"), 1.0), (None, 1.0)], "y double, p double")
+    assert metrics.regression(missing).first().medae == 3.0
+    assert np.isnan(metrics.regression(missing.where("isnan(y)")).first().medae) and metrics.regression(missing.limit(0)).first().medae is None
+    held = imputer.SimpleImputer(["y"], strategy="median")
+    assert held.fit_transform(df).count() == 3001 and held.state["fill"]["y"] == pytest.approx(np.median(y))
+
+
 def test_federated_steps(spark):
     """The result does not depend on how rows are dealt to partitions and batches."""
     rng = np.random.default_rng(3)
