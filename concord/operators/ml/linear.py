@@ -43,13 +43,21 @@ class LinearModel:
     def predict(self, df: DataFrame, name: str = "p") -> DataFrame:
         """Adds the predicted value, probability or, for more classes, class and probabilities."""
         if self.classes > 2:
-            z = F.array(*(self.margin(w) for w in self.weights))
-            e = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
-            total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-            return df.withColumn(f"{name}_all", F.transform(e, lambda v: v / total)).withColumn(name, (F.array_position(F.col(f"{name}_all"), F.array_max(f"{name}_all")) - 1).cast("int"))
+            own = f"_{name}_share_"
+            parts = [F.col(f"{own}{k}") for k in range(self.classes)]
+            out = self.shares(df, own).withColumn(f"{name}_all", F.array(*parts)).drop(*(f"{own}{k}" for k in range(self.classes)))
+            return out.withColumn(name, (F.array_position(F.col(f"{name}_all"), F.array_max(f"{name}_all")) - 1).cast("int"))
         link = sigmoid if self.kind == "taylor" else LINKS[self.kind]
         return df.withColumn(name, link(self.margin()))
 
+    def shares(self, df: DataFrame, name: str) -> DataFrame:
+        """df with each class's probability as a column of its own, <name>0 and so on; plain columns are compiled, functions over arrays are not."""
+        at = [f"{name}{k}" for k in range(self.classes)]
+        z = df.withColumns({n: self.margin(w) for n, w in zip(at, self.weights, strict=True)})
+        e = z.withColumn(f"{name}_most", F.greatest(*at)).withColumns({n: F.exp(F.col(n) - F.col(f"{name}_most")) for n in at})
+        whole = e.withColumn(f"{name}_most", sum((F.col(n) for n in at[1:]), F.col(at[0])))
+        return whole.withColumns({n: F.col(n) / F.col(f"{name}_most") for n in at}).drop(f"{name}_most")
+
     def to_json(self) -> str:
         return json.dumps(asdict(self))
 
@@ -108,13 +116,14 @@ def fit(
 def fit_softmax(df: DataFrame, features: list[str], label: str, classes: int, epochs: int = 50, rate: float = 0.1, l2: float = 0.0) -> LinearModel:
     """Softmax regression for labels 0 to classes - 1."""
     model = LinearModel("logistic", features, [[0.0] * (len(features) + 1) for _ in range(classes)], classes)
-    x = [*(F.col(c).cast("double") for c in features), F.lit(1.0)]
-    view = df.select(*features, label).persist()
+    names = [f"x{i}" for i in range(len(features))]
+    x = [*(F.col(n) for n in names), F.lit(1.0)]
+    view = df.select(*(F.col(c).cast("double").alias(n) for c, n in zip(features, names, strict=True)), F.col(label).alias("y")).persist()
+    inner = LinearModel("logistic", names, model.weights, classes)
     try:
         for _ in range(epochs):
-            p = model.predict(view, "_p")
-            err = [F.get("_p_all", F.lit(k)) - (F.col(label) == k).cast("double") for k in range(classes)]
-            got = p.agg(F.count("*").alias("n"), *(F.sum(e * v).alias(f"g{k}_{i}") for k, e in enumerate(err) for i, v in enumerate(x))).first()
+            err = [F.col(f"p{k}") - (F.col("y") == k).cast("double") for k in range(classes)]
+            got = inner.shares(view, "p").agg(F.count("*").alias("n"), *(F.sum(e * v).alias(f"g{k}_{i}") for k, e in enumerate(err) for i, v in enumerate(x))).first()
             for k, w in enumerate(model.weights):
                 model.weights[k] = [v - rate * (got[f"g{k}_{i}"] / got.n + (l2 * v if i < len(features) else 0.0)) for i, v in enumerate(w)]
     finally:

@@ -130,6 +130,26 @@ def test_federated_steps(spark):
         mlp.fit_mlp(df, ["a"], "y", [2], "ranking")
 
 
+def test_softmax_steps(spark):
+    """Steps over plain columns that are compiled, not functions over arrays; weights and probabilities are those without Spark."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(200, 2)) * 300, rng.integers(0, 3, 200)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, c int")
+    m, w, xs = linear.fit_softmax(df, ["a", "b"], "c", 3, epochs=3, rate=0.5), np.zeros((3, 3)), np.column_stack((x, np.ones(200)))
+
+    def shares(w):
+        e = np.exp((z := xs @ w.T) - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    for _ in range(3):
+        w -= 0.5 * (shares(w) - np.eye(3)[y]).T @ xs / 200
+    assert np.array(m.weights) == pytest.approx(w)
+    got = m.predict(df)
+    assert got.columns == ["a", "b", "c", "p_all", "p"] and "transform(" not in plan(got) and "aggregate(" not in plan(got)
+    rows = got.toPandas()
+    assert np.array(rows["p_all"].tolist()) == pytest.approx(shares(w)) and rows["p"].tolist() == shares(w).argmax(axis=1).tolist()
+
+
 def test_gradient():
     """Against differences of the loss."""
     rng = np.random.default_rng(0)
