@@ -19,6 +19,7 @@ from concord.functions.scalar import sigmoid
 from concord.types import present, require_columns
 
 OBJECTIVES = ("linear", "logistic")
+CODE = 32  # bits for a bucket below the number of its feature
 
 
 @dataclass
@@ -74,11 +75,13 @@ def gain(gl: float, hl: float, g: float, h: float, l2: float, gamma: float) -> f
 def train(
     df: DataFrame, features: list[str], label: str, objective: str = "logistic", trees: int = 5, depth: int = 3, rate: float = 0.3, l2: float = 1.0, gamma: float = 0.0,
     bins: int = 32, min_child_weight: float = 1.0, min_child_sample: int = 1, column_share: float = 1.0, row_share: float = 1.0, goss: tuple[float, float] | None = None, seed: int = 0, uniform: bool = False, written: int = 8,
+    cuts: dict[str, list[float]] | None = None,
 ) -> Boosted:
     """goss: (top, other): rows with the largest gradients by share, and a share of the others, whose g and h are scaled up alike.
 
     Rows keep their margin; each tree adds to it, and after every ``written``
-    trees rows are written to the shared folder, so plans stay short.
+    trees rows are written to the shared folder, so plans stay short. cuts: cut
+    points that are known already, by feature, ascending.
     """
     if objective not in OBJECTIVES:
         raise ValueError(f"no such objective: {objective}")
@@ -88,11 +91,10 @@ def train(
     import random
 
     rng = random.Random(seed)
-    cuts = cut_points(df, features, bins, uniform)
+    cuts = cut_points(df, features, bins, uniform) if cuts is None else {c: cuts[c] for c in features}
     bucket = bucketed(df, cuts)
     rows = df.select(F.col(label).cast("double").alias("_y"), *(present(c).alias(c) for c in features), *(b.cast("short").alias(f"_b_{c}") for c, b in bucket.items())).where("_y IS NOT NULL").persist()
-    mean = rows.agg(F.avg("_y")).first()[0] or 0.0
-    base = mean if objective == "linear" else 0.0
+    base = rows.agg(F.avg("_y")).first()[0] or 0.0 if objective == "linear" else 0.0
     model = Boosted(objective, features, base, rate)
     folder = scratch(df.sparkSession, "boosting") if trees > written else ""
     rows, kept = rows.withColumn("_m", F.lit(float(base))), rows
@@ -121,20 +123,31 @@ def train(
 
 def gradient_sums(rows: DataFrame, features: list[str], g: str = "g", h: str = "h", node: str = "node") -> DataFrame:
     """node, feature (its place), bucket, g, h and n: sums by node and bucket of all features in one aggregate. Bucket columns are _b_<feature>."""
-    stacked = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"_b_{c}").alias("b")) for i, c in enumerate(features))))
+    # Whole numbers for feature and bucket: an array of those needs no object for each row and feature.
+    stacked = F.explode(F.array(*(F.lit(i << CODE).cast("long") + F.col(f"_b_{c}").cast("long") for i, c in enumerate(features))))
     sums = rows.select(F.col(node).alias("node"), F.col(g).alias("g"), F.col(h).alias("h"), stacked.alias("x"))
-    return sums.groupBy("node", F.col("x.f").alias("f"), F.col("x.b").alias("b")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
+    got = sums.groupBy("node", "x").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
+    return got.select("node", F.shiftright("x", CODE).cast("int").alias("f"), F.col("x").bitwiseAND(F.lit((1 << CODE) - 1)).cast("int").alias("b"), "g", "h", "n")
 
 
 def bucketed(df: DataFrame, cuts: dict[str, list[float]]) -> dict[str, Column]:
-    """Bucket of each feature: how many of its cut points lie below it."""
-    return {c: reduce(lambda a, b: a + b, [F.when(present(c) > v, 1).otherwise(0) for v in cuts[c]], F.lit(0)) for c in cuts}
+    """Bucket of each feature: how many of its (ascending) cut points lie below it, by bisection; a missing value is in the first."""
+
+    def place(c: str, lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(c).cast("double") > cuts[c][mid], place(c, mid + 1, hi)).otherwise(place(c, lo, mid))
+
+    return {c: F.when(present(c).isNull(), 0).otherwise(place(c, 0, len(v))) for c, v in cuts.items()}
 
 
 def _grow(rows: DataFrame, features: list[str], cuts: dict, depth: int, l2: float, gamma: float, least_weight: float, least_rows: int) -> list[dict]:
+    """A tree, with one aggregate a level; the last level's leaves come from the sums by which their parents were split."""
     nodes: list[dict] = [{}]
     open_nodes = [0]
-    for level in range(depth + 1):
+    leaf = lambda g, h: {"leaf": -g / (h + l2) if h + l2 else 0.0}
+    for level in range(max(1, depth)):
         at = _route(nodes)
         w = F.col("_w")
         here = rows.withColumns({"node": at, "g": F.col("_g") * w, "h": F.col("_h") * w}).where(F.col("node").isin(open_nodes))
@@ -148,7 +161,7 @@ def _grow(rows: DataFrame, features: list[str], cuts: dict, depth: int, l2: floa
             one = next(iter(by.values()))
             g, h, n = (sum(x[i] for x in one) for i in (1, 2, 3))
             best = None
-            for f, buckets in sorted(by.items()) if level < depth else ():
+            for f, buckets in sorted(by.items()) if depth else ():
                 gl = hl = nl = 0
                 for b, bg, bh, bn in sorted(buckets)[:-1]:
                     gl, hl, nl = gl + bg, hl + bh, nl + bn
@@ -158,12 +171,13 @@ def _grow(rows: DataFrame, features: list[str], cuts: dict, depth: int, l2: floa
                     if v > 1e-12 and (best is None or v > best[0] + 1e-12):
                         best = (v, f, b)
             if best is None:
-                nodes[k] = {"leaf": -g / (h + l2) if h + l2 else 0.0}
+                nodes[k] = leaf(g, h)
             else:
                 c = features[best[1]]
                 nodes[k] = {"feature": c, "cut": cuts[c][best[2]], "bucket": best[2], "left": len(nodes), "right": len(nodes) + 1}
                 following += [len(nodes), len(nodes) + 1]
-                nodes += [{}, {}]
+                sides = [[x for x in by[best[1]] if (x[0] > best[2]) == right] for right in (False, True)]
+                nodes += [leaf(*(sum(x[i] for x in side) for i in (1, 2))) if level + 1 == depth else {} for side in sides]
         open_nodes = following
         if not open_nodes:
             break

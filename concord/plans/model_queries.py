@@ -277,12 +277,13 @@ def gradient_sums(spark, sf):
 @query("SELECT * FROM (VALUES ('rows by gradient', true), ('a share of rows', true), ('a share of columns', true), ('least rows of a leaf', true)) x(sampling, learns)")
 def boosted_sampling(spark, sf):
     """Whether the ways to sample leave a model that is better than the share of its label."""
-    rows = dear(spark, sf).persist()
-    base = max(rows.agg(F.avg("dear")).first()[0], 1 - rows.agg(F.avg("dear")).first()[0])
+    rows = dear(spark, sf).select("q", "d", "dear").persist()
+    share = rows.agg(F.avg("dear")).first()[0]
+    base, cuts = max(share, 1 - share), boosting.cut_points(rows, ["q", "d"], 32)
     ways = {"rows by gradient": {"goss": (0.3, 0.3)}, "a share of rows": {"row_share": 0.5}, "a share of columns": {"column_share": 0.5, "trees": 4}, "least rows of a leaf": {"min_child_sample": 50}}
     out = []
     for name, options in ways.items():
-        m = boosting.train(rows, ["q", "d"], "dear", depth=2, **({"trees": 2} | options))
+        m = boosting.train(rows, ["q", "d"], "dear", depth=2, cuts=cuts, **({"trees": 2} | options))
         out.append((name, bool(metrics.classification(m.predict(rows), "dear").first().acc >= base)))
     rows.unpersist()
     return said(spark, out, "sampling string, learns boolean")

@@ -15,7 +15,7 @@ from concord.catalog import Catalog, Dataset
 from concord.files import before, numbered, ranged, scratch
 from concord.functions import scalar, udf
 from concord.operators import lookup, psi, stats
-from concord.operators.ml import linear, metrics, mlp
+from concord.operators.ml import boosting, linear, metrics, mlp
 from concord.operators.preprocess import imputer
 from concord.plans import source_queries, task
 from concord.sources import tables
@@ -150,6 +150,28 @@ def test_softmax_steps(spark):
     assert np.array(rows["p_all"].tolist()) == pytest.approx(shares(w)) and rows["p"].tolist() == shares(w).argmax(axis=1).tolist()
 
 
+def test_boosting_passes(spark, monkeypatch):
+    """One pass over the rows a level; leaves are those of the rows that reach them."""
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=400), np.where(rng.random(400) < 0.1, np.nan, rng.normal(size=400))
+    y = ((a > 0.2) ^ (np.nan_to_num(b) > 0)).astype(int)
+    df = spark.createDataFrame([(float(u), None if i % 20 == 0 else float(v), int(w)) for i, (u, v, w) in enumerate(zip(a, b, y, strict=True))], "a double, b double, y int").persist()
+    b[::20] = np.nan
+    cuts = {"a": [-1.0, 0.2, 0.9], "b": [-0.5, 0.0]}
+    got = df.select(*(c.alias(n) for n, c in boosting.bucketed(df, cuts).items())).toPandas()
+    assert got["a"].tolist() == [sum(u > c for c in cuts["a"]) for u in a] and got["b"].tolist() == [sum(v > c for c in cuts["b"]) for v in b]
+    passes, sums = [], boosting.gradient_sums
+    monkeypatch.setattr(boosting, "gradient_sums", lambda *x, **o: passes.append(0) or sums(*x, **o))
+    (tree,) = boosting.train(df, ["a", "b"], "y", trees=1, depth=2, cuts=cuts).trees
+    assert len(passes) == 2
+    at = np.zeros(400, int)
+    while any("feature" in tree[k] for k in at):
+        at = np.array([(tree[k]["right"] if {"a": a, "b": b}[tree[k]["feature"]][i] > tree[k]["cut"] else tree[k]["left"]) if "feature" in tree[k] else k for i, k in enumerate(at)])
+    assert len(set(at)) == 4
+    for k in set(at):
+        assert tree[k]["leaf"] == pytest.approx(-(0.5 - y[at == k]).sum() / (0.25 * (at == k).sum() + 1))
+
+
 def test_gradient():
     """Against differences of the loss."""
     rng = np.random.default_rng(0)
